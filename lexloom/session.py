@@ -62,3 +62,10 @@ def _clean() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most so many rows, else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
