@@ -104,8 +104,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_CANON = r"""
-SELECT slot, dict, array_to_string(list_sort(regexp_extract_all(replace(replace(lower(word), 'ß', 'ss'), 'ς', 'σ'), '[\p{L}\p{M}\p{N}]+')), ' ') AS canon
+_FOLDED = "lower(word)"
+for _a, _b in (("ß", "ss"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+    _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
+_CANON = rf"""
+SELECT slot, dict, array_to_string(list_sort(regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{M}}\p{{N}}]+')), ' ') AS canon
 FROM headwords WHERE word IS NOT NULL
 """
 _WORDS = r"regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[\p{L}\p{N}]+')"
