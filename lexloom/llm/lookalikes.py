@@ -254,7 +254,8 @@ def count_signs(values: DataFrame) -> DataFrame:
                 total.update(v)
                 if not v.isascii():
                     total.update(x for x in CLUSTER.findall(v) if x in known)
-        yield pd.DataFrame({"sign": list(total), "n": list(total.values())}, columns=["sign", "n"]).astype({"n": "int64"})
+        # the types are given, as an empty partition has no values to tell them from
+        yield pd.DataFrame({"sign": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
     return values.filter("value is not null").mapInPandas(count, "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n"))
 
