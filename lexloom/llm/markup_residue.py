@@ -320,8 +320,10 @@ def _expression(node: tuple, features: Column) -> Column:
 def has_markup(df: DataFrame, text: str, to: str = "has_markup") -> DataFrame:
     """df with a boolean column: whether any block of the text is classified as markup."""
     tree = trained_tree(df.sparkSession)
-    described = df.withColumn("_described", F.transform(blocks_of(F.col(text)), _described))
-    return described.withColumn(to, F.coalesce(F.exists(_in_context(F.col("_described")), lambda s: _expression(tree, s)), F.lit(False))).drop("_described")
+    described = F.transform(blocks_of(F.col(text)), _described)
+    # as the variable of a function the features are computed once; as a column, every use would repeat them
+    judged = F.transform(F.array(described), lambda d: F.exists(_in_context(d), lambda s: _expression(tree, s)))
+    return df.withColumn(to, F.coalesce(F.get(judged, F.lit(0)), F.lit(False)))
 
 
 def fields(definitions: DataFrame, runs: DataFrame) -> DataFrame:
