@@ -44,6 +44,8 @@ WEAK = {
     "equals": r"[=^|~]",
     "dollar": r"[$#&\\]",
 }
+#: No feature but word counts can be above zero in a text without any of these.
+ANY_SIGN = r"[<>&*_~`#|=^\[\]{}\\$]|''|(?:\A|\n)\s{0,3}[:;+-]|\s[A-Za-z-]+=[\"']"
 LINK = r"<[aA]\s[^>]*>[^<]*</[aA]>|!?\[[^\[\]]+\]\([^()]*\)|\[\[[^\[\]]*\]\]|\\hyperref\[[^\]]*\]\{[^}]*\}|\\(?:href|ref|url)\{[^}]*\}"
 OWN = ("words", "link", *SIGNS, *WEAK)
 FEATURES = [*OWN, *(f"{side}_{f}" for side in ("before", "after") for f in ("words", "link", "marked"))]
@@ -296,6 +298,14 @@ def labelled_texts() -> list[tuple[str, list[int]]]:
     return out
 
 
+def _always_plain(node: tuple) -> bool:
+    """Whether a tree calls every block plain that has no sign in itself nor beside it."""
+    if len(node) == 1:
+        return node[0] < 0.5
+    free = FEATURES[node[0]].split("_", 1)[-1] == "words" or FEATURES[node[0]] == "words"
+    return (_always_plain(node[2]) and _always_plain(node[3])) if free else _always_plain(node[2] if node[1] >= 0 else node[3])
+
+
 _trees: dict[tuple[int, int], tuple] = {}
 
 
@@ -323,7 +333,10 @@ def has_markup(df: DataFrame, text: str, to: str = "has_markup") -> DataFrame:
     described = F.transform(blocks_of(F.col(text)), _described)
     # as the variable of a function the features are computed once; as a column, every use would repeat them
     judged = F.transform(F.array(described), lambda d: F.exists(_in_context(d), lambda s: _expression(tree, s)))
-    return df.withColumn(to, F.coalesce(F.get(judged, F.lit(0)), F.lit(False)))
+    verdict = F.coalesce(F.get(judged, F.lit(0)), F.lit(False))
+    if _always_plain(tree):
+        verdict = F.when(F.col(text).rlike(ANY_SIGN), verdict).otherwise(F.lit(False))
+    return df.withColumn(to, verdict)
 
 
 def fields(definitions: DataFrame, runs: DataFrame) -> DataFrame:
