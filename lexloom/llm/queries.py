@@ -105,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _FOLDED = "lower(word)"
-for _a, _b in (("ß", "ss"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+for _a, _b in (("ß", "ss"), ("ς", "σ"), ("µ", "μ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
     _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b}')"
 _CANON = rf"""
 SELECT slot, dict, array_to_string(list_sort(regexp_extract_all({_FOLDED}, '[\p{{L}}\p{{M}}\p{{N}}]+')), ' ') AS canon
