@@ -15,7 +15,7 @@ from lexloom.sources import paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-NEEDLE, MARKED, REPEATED, WORD = "cra", "crâ", "pra", "praegonoebault"
+NEEDLE, MARKED, REPEATED, POINTED, WORD, NEAR = "cra", "crâ", "pra", "מ", "шосуцэфэзац", "sacicraestax"
 QUERIES = [(1, "ad "), (2, "κλ"), (3, "סַ"), (4, ""), (5, "zzz"), (6, " Spo "), (7, "кр"), (8, "b"), (9, "É")]
 LIMIT = 25
 #: Paths for the rules of discovery.
@@ -102,6 +102,11 @@ def prefix_search_marked(spark: SparkSession, d: str) -> DataFrame:
     return _flat(search.search(_index(spark, d), MARKED))
 
 
+def prefix_search_pointed(spark: SparkSession, d: str) -> DataFrame:
+    """Hebrew, where words without points are shown under the one pointed spelling they can be."""
+    return _flat(search.search(_index(spark, d), POINTED))
+
+
 def prefix_search_batch(spark: SparkSession, d: str) -> DataFrame:
     asked = spark.createDataFrame(QUERIES, "query_id int, query string")
     return _flat(search.batch_search(_index(spark, d), asked), "query_id")
@@ -228,7 +233,7 @@ def sense_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_keys(spark: SparkSession, d: str) -> DataFrame:
     """Beyond the plain search: keys at most two edits from a word."""
-    near = F.levenshtein(F.col("bare_key"), F.lit(WORD), 2)
+    near = F.levenshtein(F.col("bare_key"), F.lit(NEAR), 2)
     return _index(spark, d).select("slot", "bare_key", near.alias("edits")).filter("edits >= 0")
 
 
@@ -263,7 +268,7 @@ def dsl_html(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = (
         kw_total, kw_per_dict, scope_size, library_size_line, status_line, slot_bases, merged_order, keys, homograph_strip, prefix_matches, prefix_search,
-        prefix_search_all, prefix_search_scoped, prefix_search_marked, prefix_search_batch, fold_forms, key_aligned_limit, page_rows, spelling_classes,
+        prefix_search_all, prefix_search_scoped, prefix_search_marked, prefix_search_pointed, prefix_search_batch, fold_forms, key_aligned_limit, page_rows, spelling_classes,
         resolve_word, row_language_tags, exact_lookup, definitions_ranked, reading_order, order_repair, scope_default, shelf, label_collisions,
         label_disambiguated, language_tag, language_pair, language_group_order, path_classify, discovered, b64_offsets, tsv_first_wins, link_targets,
         html_text, html_runs, sense_lines, fuzzy_keys, dsl_filings, dsl_html, p1_found, p1_reasons, p1_valid,

@@ -6,7 +6,7 @@ from lexloom.functions.language import PAIR_NAMES, TITLE_PARTS
 from lexloom.plans import catalogue as c
 
 _FOLD = "lower(nfc_normalize(word))"
-for _a, _b in (("ß", "ss"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
+for _a, _b in (("ß", "ss"), ("ς", "σ"), ("µ", "μ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
     _FOLD = f"replace({_FOLD}, '{_a}', '{_b}')"
 _STRIP = r"regexp_replace({}, ' \([0-9]+\)$', '')"
 #: Headwords with their keys.
@@ -99,6 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "prefix_search_all": f"WITH {_rows('true')} SELECT {_OUT} FROM r",
         "prefix_search_scoped": f"WITH {_rows(_NEEDLE + ' AND dict NOT IN (SELECT dict FROM dictionaries WHERE NOT scope)')} SELECT {_OUT} FROM r",
         "prefix_search_marked": f"WITH {_rows(_MARKED)} SELECT {_OUT} FROM r",
+        "prefix_search_pointed": f"WITH {_rows(f'starts_with(bare_key, {chr(39)}{c.POINTED}{chr(39)})')} SELECT {_OUT} FROM r",
         "fold_forms": f"""WITH {_rows(_REPEATED)}, ids AS (SELECT DISTINCT dict, word, entry_id FROM k WHERE entry_id IS NOT NULL),
  sh AS (SELECT DISTINCT r.bare_key, r.first_slot, i.dict, i.entry_id FROM r JOIN o ON o.bare_key = r.bare_key AND o.host = r.host JOIN ids i ON i.dict = o.dict AND i.word = o.word),
  se AS (SELECT *, min((bare_key, first_slot)) OVER (PARTITION BY dict, entry_id) AS first FROM sh),
@@ -136,5 +137,5 @@ def oracle_sql() -> dict[str, str]:
         "sense_lines": r"""WITH l AS (SELECT def_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT def_id, string_split(entries[1], chr(10)) AS x FROM definitions WHERE entries[1] IS NOT NULL)),
  s AS (SELECT *, regexp_matches(line, '^\s*(?:¶|- |[0-9IVXivx]+[.)])') AS starts FROM l), n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY def_id ORDER BY line_no) AS sense FROM s)
  SELECT def_id, line_no::INT AS line_no, line, sense::INT AS sense, CASE WHEN starts THEN 'sense' WHEN sense > 0 AND trim(line) <> '' THEN 'within' ELSE 'body' END AS kind FROM n""",
-        "fuzzy_keys": f"WITH {_KEYED} SELECT slot, bare_key, levenshtein(bare_key, '{c.WORD}')::INT AS edits FROM k WHERE levenshtein(bare_key, '{c.WORD}') <= 2",
+        "fuzzy_keys": f"WITH {_KEYED} SELECT slot, bare_key, levenshtein(bare_key, '{c.NEAR}')::INT AS edits FROM k WHERE levenshtein(bare_key, '{c.NEAR}') <= 2",
     }
