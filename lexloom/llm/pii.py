@@ -179,20 +179,23 @@ def _names(text: str) -> Iterator[Span]:
     while m := NAME_FIRST.search(text, at):
         given, middle, family = m["g"], m["m"], m["f"]
         last = family.split(" ")[-1]
-        at = m.start() + len(given)
+        at, end = m.start() + len(given), m.end()
+        if middle and _word(middle) and not _word(last) and middle.casefold() not in _given:
+            # the family name stood in the middle, before the next sentence
+            last, middle, end = middle, None, m.end("m")
         if not (_word(given) and _word(last) and (not middle or _word(middle))) or len(given) < 2 or len(last) < 3:
             continue
         known = given.casefold() in _given
-        before, after = bool(_cues["name_before"].search(re.sub(rf"{TITLES}\s$", "", text[max(0, m.start() - NEAR) : m.start()]))), bool(_cues["name_after"].search(text[m.end() : m.end() + NEAR]))
+        before, after = bool(_cues["name_before"].search(re.sub(rf"{TITLES}\s$", "", text[max(0, m.start() - NEAR) : m.start()]))), bool(_cues["name_after"].search(text[end : end + NEAR]))
         titled = bool(re.search(rf"(?<!\w){TITLES}\s$", text[max(0, m.start() - 8) : m.start()]))
         score = 0.2 + 0.5 * known + 0.4 * (before or titled) + 0.4 * after + 0.2 * bool(middle and middle.casefold() in _given)
         if last.casefold() in _given and not known:
             score -= 0.3
-        if not known and re.match(r"\s*(?:Wordbook|Lexicon|Thesaurus|Glossary|Dictionary|Vocabulary|Handlist|Index|School|Concise|Etymological|Press|Society)\b", text[m.end() : m.end() + 20]):
+        if not known and re.match(r"\s*(?:Wordbook|Lexicon|Thesaurus|Glossary|Dictionary|Vocabulary|Handlist|Index|School|Concise|Etymological|Press|Society)\b", text[end : end + 20]):
             score -= 0.6
         if score >= THRESHOLD:
-            at = m.end()
-            yield Span("name", m.start(), m.end(), min(score, 1.0))
+            at = end
+            yield Span("name", m.start(), end, min(score, 1.0))
     at = 0
     while m := NAME_LAST.search(text, at):
         at = m.start() + len(m["f"])
@@ -200,7 +203,7 @@ def _names(text: str) -> Iterator[Span]:
         last = m["f"].split(" ")[-1]
         if not _word(m["g"]) or not _word(last) or len(last) < 3 or last.casefold() in _given:
             continue
-        if re.match(r"(?: [A-ZÀ-Þ]\.)? (?:von |van |de |del |der |d[’'])?[A-ZÀ-Þ][\w-]", text[m.end() : m.end() + 12]):
+        if (n := re.match(rf"(?: [A-ZÀ-Þ]\.)? (?:von |van |de la |de |del |der |d[’'])?({W})", text[m.end() : m.end() + 60])) and _word(n[1]):
             continue  # the given name belongs to the family name behind it
         before, after = bool(_cues["name_before"].search(re.sub(rf"{TITLES}\s$", "", text[max(0, m.start() - NEAR) : m.start()]))), bool(_cues["name_after"].search(text[m.end() : m.end() + NEAR]))
         score = 0.2 + 0.4 * known + 0.4 * before + 0.4 * after
