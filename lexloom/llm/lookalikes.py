@@ -3,7 +3,8 @@
 Look-alike classes: code points and strings that show the same sign are united by union-find - compatibility and
 composed forms by rule from the Unicode tables, letters of other scripts by a table of look-alikes - so the classes
 are transitive (full-width a, Latin a and Cyrillic a are one). Each class has one representative per script: its most
-frequent member in that script, counted over all values. A value is then rewritten greedily, longest match first, by
+frequent ordinary member in that script, counted over all values (a compatibility or uncomposed form represents only
+where there is no other). A value is then rewritten greedily, longest match first, by
 an Aho-Corasick automaton of all other members, to the representatives of its own script: the script of the letters
 that look like no other script's, else of the most letters.
 
@@ -163,10 +164,10 @@ def _script_of(member: str) -> str:
 def usual_forms(counts: dict[str, int]) -> tuple[dict[str, dict[str, str]], list[str]]:
     """For each member of a class its representative by script, from the counts of strings; and scripts by frequency.
 
-    A member of no letters (digits, accents) stands under script "". Members that never occur stand back behind those
-    that do; among equals the composed, shortest, then the first code points.
+    A member of no letters (digits, accents) stands under script "". Members that Unicode itself has another form for
+    stand back behind those it has none for; among these the most frequent counts, then the shortest and first.
     """
-    rank = lambda m: (-_seen(m, counts), U.normalize("NFKC", m) != m, len(m), m)
+    rank = lambda m: (U.normalize("NFKC", m) != m, -_seen(m, counts), len(m), m)
     forms: dict[str, dict[str, str]] = {}
     for members in classes().values():
         by: dict[str, list[str]] = {}

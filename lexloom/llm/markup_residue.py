@@ -293,6 +293,8 @@ def labelled_texts() -> list[tuple[str, list[int]]]:
                 pending = None
         elif text.startswith("```p") or text == "~~~":
             pending = ([text], [label])
+        elif re.fullmatch("={3,}", text):
+            out[-1] = (f"{out[-1][0]}\n{text}", [*out[-1][1], label])
         else:
             out.append((text, [label]))
     return out
@@ -421,11 +423,11 @@ def clean(text: str | None) -> str | None:
     numbered = "\\begin{enumerate}" in text
     text = re.sub(r"\\item\s*", "1. " if numbered else "- ", re.sub(r"\\(?:begin|end)\{[a-z]+\*?\}", "", text))
     wiki = bool(re.search(r"''|\[\[|\{\{", text))
-    text = re.sub(r"^\s{0,3}>\s?", "", text, flags=re.M)
-    text = re.sub(r"^[*+]\s", "- ", text, flags=re.M)
+    text = re.sub(r"^[ \t]{0,3}>[ \t]?", "", text, flags=re.M)
+    text = re.sub(r"^[*+][ \t]", "- ", text, flags=re.M)
     if wiki:
-        text = re.sub(r"^#\s", "1. ", text, flags=re.M)
-    text = re.sub(r"^[:;]\s", "", text, flags=re.M)
+        text = re.sub(r"^#[ \t]", "1. ", text, flags=re.M)
+    text = re.sub(r"^[:;][ \t]", "", text, flags=re.M)
     text = re.sub(r"^\s*\[([^\[\]]+)\]:\s\S+\s*$", r"\1", text, flags=re.M)
     text = "\n".join(_inline(line) for line in text.split("\n"))
     text = re.sub(r"\ue000(\d+)\ue001", lambda m: kept[int(m[1])], text)
