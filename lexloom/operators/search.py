@@ -9,14 +9,15 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import keys
-from lexloom.functions.keys import allows_marks, without_homograph
+from lexloom.functions.keys import allows_marks
 
 DEFAULT_LIMIT = 500
-_CLASSES = "array<struct<cls:string,host:string,maximal:boolean>>"
+_HOSTS = "array<struct<host:string,maximal:boolean>>"
+_POSITION = ("bare_key", "first_slot")
 
 
 def needle_of(query: str) -> tuple[str, str, bool]:
@@ -39,88 +40,83 @@ def candidates(index: DataFrame, query: str, scope: DataFrame | None = None) ->
 
 
 @functools.cache
-def _absorbed():
-    @F.pandas_udf(_CLASSES)
+def _hosts_of():
+    @F.pandas_udf(_HOSTS)
     def resolve(groups: pd.Series) -> pd.Series:
         out = []
         for classes in groups:
-            maximal = [c for c in classes if not any(o != c and keys.marks_allow(c, o) for o in classes)]
+            classes = [] if classes is None else list(classes)
+            top = {c for c in classes if not any(o != c and keys.marks_allow(c, o) for o in classes)}
             rows = []
             for c in classes:
-                hosts = [] if c in maximal else [h for h in maximal if keys.only_optional_marks(h) and keys.marks_allow(c, h)]
-                rows.append({"cls": c, "host": hosts[0] if len(hosts) == 1 else c, "maximal": c in maximal or len(hosts) == 1})
+                hosts = [] if c in top else [h for h in classes if h in top and keys.only_optional_marks(h) and keys.marks_allow(c, h)]
+                rows.append({"host": hosts[0] if len(hosts) == 1 else c, "maximal": c in top or len(hosts) == 1})
             out.append(rows)
         return pd.Series(out)
 
     return resolve
 
 
-def spelling_classes(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFrame:
-    """by..., fold_class, host, maximal: which spelling of a key each class is shown under.
-
-    Only keys with several spellings go through Python; a key has few.
-    """
-    classes = found.groupBy(*by).agg(F.array_sort(F.collect_set("fold_class")).alias("classes"))
-    several = F.size("classes") > 1
-    return (
-        classes.withColumn("_r", _absorbed()(F.when(several, F.col("classes")).otherwise(F.array().cast("array<string>"))))
-        .withColumn("_r", F.when(several, F.col("_r")).otherwise(F.transform("classes", lambda c: F.struct(c.alias("cls"), c.alias("host"), F.lit(True).alias("maximal")))))
-        .select(*by, F.explode("_r").alias("r"))
-        .select(*by, F.col("r.cls").alias("fold_class"), F.col("r.host").alias("host"), F.col("r.maximal").alias("maximal"))
-    )
-
-
 def group_rows(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFrame:
-    """Rows of spelling groups: by..., first_slot, word, members, all_aliases.
+    """Rows of spelling groups: by..., first_slot, word, members, all_aliases, ids.
 
     members: struct<dict, spelling> by dictionary, those of the shown spelling before absorbed ones, without repeats
-    that follow each other.
+    that follow each other. ids: the entries of all members. All three groupings follow one exchange by key; only keys
+    with several spellings, of which there are few, go through Python.
     """
-    hosts = spelling_classes(found, by)
-    placed = found.join(hosts, [*by, "fold_class"])
-    own = F.col("fold_class") == F.col("host")
-    member = F.struct("dict", (~own).alias("absorbed"), F.when(own, 0).otherwise(F.col("class_slot")).alias("class_slot"), "slot", "word")
-    class_slot = found.groupBy(*by, "fold_class").agg(F.min("slot").alias("class_slot"))
-    grouped = placed.join(class_slot, [*by, "fold_class"]).groupBy(*by, "host").agg(
-        F.min(F.when(own, F.col("slot"))).alias("first_slot"),
-        F.min(F.when(own, F.struct("slot", "word", "plain"))).alias("first"),
-        F.min(F.when(own & F.col("plain"), F.struct("slot", "word"))).alias("first_plain"),
-        F.bool_and(F.col("is_alias") & F.col("maximal")).alias("all_aliases"),
-        F.array_sort(F.collect_list(member)).alias("m"),
+    classes = (
+        found.repartition(*by)
+        .groupBy(*by, "fold_class")
+        .agg(
+            F.min("slot").alias("class_slot"),
+            F.bool_and("is_alias").alias("silent"),
+            F.min(F.struct("slot", "word", "plain")).alias("first"),
+            F.min(F.when(F.col("plain"), F.struct("slot", "word"))).alias("first_plain"),
+            F.collect_list(F.struct("dict", "slot", "word", "entry_id")).alias("m"),
+        )
+    )
+    held = classes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("class_slot", "fold_class", "silent", "first", "first_plain", "m"))).alias("cs"))
+    several = F.size("cs") > 1
+    spelled = F.transform("cs", lambda c: c["fold_class"])
+    alone = F.transform("cs", lambda c: F.struct(c["fold_class"].alias("host"), F.lit(True).alias("maximal")))
+    placed = held.withColumn("hs", _hosts_of()(F.when(several, spelled))).select(*by, F.explode(F.arrays_zip("cs", F.when(several, F.col("hs")).otherwise(alone).alias("hs"))).alias("z"))
+    c, host = F.col("z.cs"), F.col("z.hs.host")
+    own = c["fold_class"] == host
+    member = lambda x: F.struct(x["dict"].alias("dict"), (~own).alias("absorbed"), F.when(own, 0).otherwise(c["class_slot"]).alias("class_slot"), x["slot"].alias("slot"), x["word"].alias("word"))
+    identity = lambda x: F.struct(x["dict"].alias("dict"), x["entry_id"].alias("entry_id"))
+    grouped = placed.groupBy(*by, host.alias("host")).agg(
+        F.min(F.when(own, c["class_slot"])).alias("first_slot"),
+        F.max(F.when(own, c["first"])).alias("first"),
+        F.max(F.when(own, c["first_plain"])).alias("first_plain"),
+        F.bool_and(c["silent"] & F.col("z.hs.maximal")).alias("all_aliases"),
+        F.array_sort(F.flatten(F.collect_list(F.transform(c["m"], member)))).alias("m"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter(c["m"], lambda x: x["entry_id"].isNotNull()), identity)))).alias("ids"),
     )
-    spelled = F.transform("m", lambda x: F.struct(x["dict"].alias("dict"), x["word"].alias("spelling")))
     fresh = lambda x, i: (i == 0) | (x != F.get(F.col("members"), i - 1))
     return (
-        grouped.withColumn("members", spelled)
+        grouped.withColumn("members", F.transform("m", lambda x: F.struct(x["dict"].alias("dict"), x["word"].alias("spelling"))))
         .withColumn("members", F.filter("members", fresh))
-        .select(*by, "first_slot", F.when(F.col("first.plain"), F.col("first.word")).otherwise(F.coalesce("first_plain.word", "first.word")).alias("word"), "members", "all_aliases")
+        .select(*by, "first_slot", F.when(F.col("first.plain"), F.col("first.word")).otherwise(F.coalesce("first_plain.word", "first.word")).alias("word"), "members", "all_aliases", "ids")
     )
 
 
-def fold_repeats(rows: DataFrame, index: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def fold_repeats(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """rows without those made of aliases whose every entry an earlier row of the same query shows.
 
     The earliest row of each entry is an aggregate, combined before its shuffle, so that a stub entry that serves very
-    many words stays one row.
+    many words stays one row; it is joined back only to rows that could go.
     """
-    position = F.struct("bare_key", "first_slot")
-    ids = index.filter("entry_id is not null").select("dict", F.col("word").alias("spelling"), "entry_id").distinct()
-    shown = (
-        rows.select(*by, "bare_key", "first_slot", F.explode("members").alias("m"))
-        .select(*by, "bare_key", "first_slot", "m.dict", "m.spelling")
-        .join(ids, ["dict", "spelling"])
-        .select(*by, "bare_key", "first_slot", "dict", "entry_id")
-        .distinct()
-    )
+    position = F.struct(*_POSITION)
+    shown = rows.select(*by, *_POSITION, "all_aliases", F.explode("ids").alias("e")).select(*by, *_POSITION, "all_aliases", "e.dict", "e.entry_id")
     earliest = shown.groupBy(*by, "dict", "entry_id").agg(F.min(position).alias("first"))
     repeats = (
-        shown.join(earliest, [*by, "dict", "entry_id"])
-        .groupBy(*by, "bare_key", "first_slot")
+        shown.filter("all_aliases")
+        .join(earliest, [*by, "dict", "entry_id"])
+        .groupBy(*by, *_POSITION)
         .agg(F.bool_and(F.col("first") < position).alias("seen"))
         .filter("seen")
     )
-    dropped = rows.filter("all_aliases").select(*by, "bare_key", "first_slot").join(repeats, [*by, "bare_key", "first_slot"], "left_semi")
-    return rows.join(dropped, [*by, "bare_key", "first_slot"], "left_anti")
+    return rows.join(repeats, [*by, *_POSITION], "left_anti")
 
 
 def key_limit(rows: DataFrame, limit: int) -> DataFrame:
@@ -135,12 +131,19 @@ def key_limit(rows: DataFrame, limit: int) -> DataFrame:
     return rows.join(counts.withColumn("before", before).filter(F.col("before") < limit).select("bare_key"), "bare_key", "left_semi")
 
 
+def first_keys(found: DataFrame, limit: int) -> DataFrame:
+    """Candidates of the first `limit` keys, by a top-k: with nothing folded each key gives a row, so no others are needed."""
+    return found.join(found.select("bare_key").distinct().orderBy("bare_key").limit(limit), "bare_key", "left_semi")
+
+
 def search(index: DataFrame, query: str, limit: int | None = None, scope: DataFrame | None = None, fold_forms: bool = False) -> DataFrame:
     """bare_key, first_slot, word, members, all_aliases of all rows that answer a query; order by the first two."""
-    rows = group_rows(candidates(index, query, scope))
+    found = candidates(index, query, scope)
     if fold_forms:
-        rows = fold_repeats(rows, index)
-    return rows if limit is None else key_limit(rows, limit)
+        rows = fold_repeats(group_rows(found))
+    else:
+        rows = group_rows(found if limit is None else first_keys(found, max(limit, 0)))
+    return (rows if limit is None else key_limit(rows, limit)).drop("ids")
 
 
 def page(index: DataFrame, query: str, n: int = DEFAULT_LIMIT, scope: DataFrame | None = None, fold_forms: bool = False) -> tuple[DataFrame, bool]:
@@ -170,7 +173,7 @@ def batch_search(index: DataFrame, queries: DataFrame, scope: DataFrame | None =
         return pd.Series([a is None or keys.marks_allow(a, b) for a, b in zip(q, w)], dtype=bool)
 
     found = found.filter(allowed(F.when(F.col("marked"), F.col("q_fold")), F.col("word")))
-    return group_rows(found.drop("needle", "stem", "marked", "q_fold"), ("query_id", "bare_key"))
+    return group_rows(found.drop("needle", "stem", "marked", "q_fold"), ("query_id", "bare_key")).drop("ids")
 
 
 def resolve(index: DataFrame, word: str, scope: DataFrame | None = None) -> DataFrame:
