@@ -5,10 +5,14 @@ Tables of dictionaries have one row each and stay small, so windows over all of
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.language import OTHER, group, quantity, thousands
+from lexloom.functions.language import OTHER, group, quantity, starts_a_sense, thousands
 
 
 def reading_order(dictionaries: DataFrame) -> DataFrame:
@@ -127,19 +131,22 @@ def definitions_of(rows: DataFrame, entries: DataFrame, dictionaries: DataFrame,
     return sections.join(reading_order(dictionaries), "dict").join(dictionaries.select("dict", "label", "derived"), "dict").select(*by, "rank", "dict", "label", "derived", "entries")
 
 
+@functools.cache
+def _running():
+    @F.pandas_udf("array<int>")
+    def count(flags: pd.Series) -> pd.Series:
+        return pd.Series([None if f is None else np.cumsum(np.asarray(f, dtype="int32"), dtype="int32") for f in flags], dtype=object)
+
+    return count
+
+
 def sense_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, line, sense (0 before the first), kind: body, sense or within, for each line of a text.
 
-    The running count is inside each text, as an array: lines never leave their row's task.
+    The running count is inside each text, so lines never leave their row's task and nothing is shuffled.
     """
-    from lexloom.functions.language import starts_a_sense
-
-    lines = F.split(F.col(text), "\n")
-    flagged = F.transform(lines, lambda x: F.struct(x.alias("line"), starts_a_sense(x).alias("starts")))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<line:string,sense:int,starts:boolean>>").alias("out"))
-    def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + x["starts"].cast("int")
-        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(F.struct(x["line"].alias("line"), n.alias("sense"), x["starts"].alias("starts")))).alias("out"))
-    rows = texts.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.aggregate(flagged, start, step)["out"]).alias("line_no", "l"))
-    kind = F.when(F.col("l.starts"), "sense").when((F.col("l.sense") > 0) & (F.trim("l.line") != ""), "within").otherwise("body")
-    return rows.select(key, "line_no", F.col("l.line").alias("line"), F.col("l.sense").alias("sense"), kind.alias("kind"))
+    df = texts.filter(F.col(text).isNotNull()).select(key, F.split(F.col(text), "\n").alias("_lines"))
+    df = df.withColumn("_starts", F.transform("_lines", starts_a_sense)).withColumn("_sense", _running()(F.col("_starts")))
+    rows = df.select(key, F.posexplode(F.arrays_zip("_lines", "_starts", "_sense")).alias("line_no", "l"))
+    kind = F.when(F.col("l._starts"), "sense").when((F.col("l._sense") > 0) & (F.trim("l._lines") != ""), "within").otherwise("body")
+    return rows.select(key, "line_no", F.col("l._lines").alias("line"), F.col("l._sense").alias("sense"), kind.alias("kind"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +42,53 @@ def merged_order(keyed_headwords: DataFrame) -> DataFrame:
     return keyed_headwords.repartitionByRange("bare_key", "slot").sortWithinPartitions("bare_key", "slot")
 
 
-def write(headwords: DataFrame, path: str) -> None:
-    """Writes the index sorted by key, so that a prefix reads few row groups; and the manifest of its dictionaries.
+def _state(headwords: DataFrame) -> DataFrame:
+    """dict, headwords, checksum: what an index must have been written from to be current."""
+    words = headwords.filter("word is not null")
+    return words.groupBy("dict").agg(F.count("*").alias("headwords"), F.sum(F.crc32(F.col("word").cast("binary"))).alias("checksum"))
+
 
-    The manifest is written last: an index without one is unfinished and counts as absent.
+def write(headwords: DataFrame, path: str) -> str:
+    """Writes the index sorted by key, so that a prefix reads few row groups, and returns its version.
+
+    Each version has its own folder; the manifest that names it is written last. Whoever reads meanwhile sees the old
+    version, or none and then builds, but never half an index.
     """
-    merged_order(keyed(headwords)).write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/headwords")
-    headwords.filter("word is not null").groupBy("dict").agg(F.count("*").alias("headwords"), F.sum(F.crc32(F.col("word").cast("binary"))).alias("checksum")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    version = uuid.uuid4().hex
+    merged_order(keyed(headwords)).write.option("parquet.block.size", 8 << 20).parquet(f"{path}/headwords-{version}")
+    _state(headwords).withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    return version
 
 
-def is_current(spark: SparkSession, headwords: DataFrame, path: str) -> bool:
-    """Whether the index at path was written from these headwords."""
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """dict, headwords, checksum, version; None if there is no whole index at path."""
     try:
-        manifest = spark.read.parquet(f"{path}/manifest")
+        return spark.read.schema("dict int, headwords bigint, checksum bigint, version string").parquet(f"{path}/manifest")
     except Exception:  # noqa: BLE001 - no or broken manifest: there is no index
+        return None
+
+
+def version_of(spark: SparkSession, path: str) -> str | None:
+    held = manifest(spark, path)
+    row = None if held is None else held.select("version").first()
+    return row.version if row else None
+
+
+def is_current(spark: SparkSession, headwords: DataFrame, path: str) -> bool:
+    """Whether the index at path was written from these headwords."""
+    held = manifest(spark, path)
+    if held is None:
         return False
-    now = headwords.filter("word is not null").groupBy("dict").agg(F.count("*").alias("headwords"), F.sum(F.crc32(F.col("word").cast("binary"))).alias("checksum"))
-    return now.exceptAll(manifest).isEmpty() and manifest.exceptAll(now).isEmpty()
+    now, then = _state(headwords), held.drop("version")
+    return now.exceptAll(then).isEmpty() and then.exceptAll(now).isEmpty()
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/headwords-{version_of(spark, path)}")
 
 
 def open_or_build(spark: SparkSession, headwords: DataFrame, path: str) -> DataFrame:
     """The index at path, rebuilt first if it is missing, broken or of other headwords."""
     if not is_current(spark, headwords, path):
         write(headwords, path)
-    return spark.read.parquet(f"{path}/headwords")
+    return open_index(spark, path)

@@ -82,9 +82,39 @@ _BETTER = r"""CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN CASE WHEN tr
   ELSE label || ' (' || regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') || ')' END ELSE label END"""
 
 
+_F = r'("(?:[^"]|"")*"|[^"\t][^\t]*|)'
+_N = r'("[0-9]{1,18}"|[0-9]{1,18})'
+_RECORD = rf"{_F}\t{_N}\t{_F}\t{_F}\t{_F}\t{_N}"
+
+
+def _removed(text: str, pair: str, times: int = 12) -> str:
+    for _ in range(times):
+        text = f"regexp_replace({text}, '{pair}', '', 'g')"
+    return text
+
+
+def _faulty() -> str:
+    line = r"regexp_replace(line, '\r$', '')"
+    unquoted = f"CASE WHEN starts_with(h, '\"') THEN replace(h[2:-2], '\"\"', '\"') ELSE h END"
+    csv = rf"""SELECT 'Csv' AS format, line_id AS rec_id FROM (SELECT line_id, line, regexp_extract({line}, '{_RECORD}', 3) AS h FROM csv_lines)
+  WHERE line IS NULL OR NOT regexp_full_match({line}, '{_RECORD}') OR regexp_matches({line}, '[\x00-\x08\x0a-\x1f]') OR regexp_full_match({unquoted}, '\s*')"""
+    tokens = lambda one, two: f"array_to_string(regexp_extract_all(x, '{one}|{two}'), '')"
+    unclosed = lambda one, two, sign: f"contains({_removed(tokens(one, two), one + two)}, '{sign}')"
+    dsl = rf"""SELECT 'Dsl', card_id FROM (
+    SELECT card_id, card, list_filter(string_split_regex(regexp_replace(card, '\\[^\r\n]', 'x', 'g'), '\r?\n'), lambda x: regexp_matches(x, '\S')) AS l FROM dsl_cards)
+  WHERE card IS NULL OR regexp_matches(card, '[\x00-\x08\x0b\x0c\x0e-\x1f]') OR regexp_matches(replace(card, chr(13) || chr(10), ''), '\r')
+    OR NOT regexp_full_match(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^[\t ]') THEN 'b' ELSE 'h' END), ''), 'h+b+')
+    OR len(list_filter(l, lambda x: NOT regexp_matches(x, '^[\t ]') AND {_removed("regexp_replace(x, '[^(){}]', '', 'g')", r"[(][)]|[{][}]")} <> '')) > 0
+    OR len(list_filter(l, lambda x: regexp_matches(x, '^[\t ]') AND (NOT regexp_full_match(regexp_replace(x, '[^\[\]]', '', 'g'), '(\[\])*')
+      OR {unclosed("[{][{]", "[}][}]", "{{")} OR {unclosed("<<", ">>", "<<")} OR regexp_matches(regexp_replace(x, '\[m[0-9]?\]', '', 'g'), '\[m')
+      OR regexp_matches(x, '\[ref\]\s*\[/ref\]|<<\s*>>')))) > 0"""
+    return f"{csv} UNION ALL {dsl}"
+
+
 def oracle_sql() -> dict[str, str]:
     limited = f"WITH {_rows(_NEEDLE)}, n AS (SELECT bare_key, count(*) AS n FROM r GROUP BY bare_key), b AS (SELECT bare_key, coalesce(sum(n) OVER (ORDER BY bare_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)"
     return {
+        "p1_found": _faulty(),
         "kw_total": "SELECT count(*) AS headwords FROM headwords",
         "kw_per_dict": "SELECT dict, count(*) AS headwords FROM headwords GROUP BY dict",
         "scope_size": f"SELECT *, all_dicts > 0 AND dicts = 0 AS nothing_selected FROM ({_SIZE})",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lexloom.operators.index import KEYED, keyed
+from lexloom.operators.index import KEYED, keyed, version_of
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -20,9 +20,15 @@ def first_arrivals(stream: DataFrame, lateness: str = "30 days") -> DataFrame:
 
 
 def append_to_index(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends keyed headwords to the index at path, each file once; ends when all files there are taken."""
+    """Appends keyed headwords to the index at path, each file once; ends when all files there are taken.
+
+    The index then holds more than its manifest says; a rebuild from all headwords brings both together again.
+    """
+    version = version_of(stream.sparkSession, path)
+    if version is None:
+        raise ValueError(f"no index at {path}")
 
     def add(batch: DataFrame, _: int) -> None:
-        keyed(batch).select(*KEYED).sortWithinPartitions("bare_key", "slot").write.mode("append").parquet(f"{path}/headwords")
+        keyed(batch).select(*KEYED).sortWithinPartitions("bare_key", "slot").write.mode("append").parquet(f"{path}/headwords-{version}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

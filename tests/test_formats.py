@@ -224,4 +224,4 @@ def test_arrivals_extend_the_index(spark, tmp_path):
     rows.filter("slot >= 5").write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # what was taken once isn't taken again
         ingest.append_to_index(ingest.read_arrivals(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "ix/headwords")).count() == 20
+    assert index.open_index(spark, str(tmp_path / "ix")).count() == 20
