@@ -9,7 +9,8 @@ known chain.
 
 Applying: each learned chain gives a mapping from garbled sequence to character. In all records, runs of non-ASCII
 characters that a learned chain turns back in full, or that hold mapped sequences with signs no word is written with,
-are restored, longest first; the replacement character U+FFFD marks a record too, but what was lost there stays lost.
+are restored, longest first. The replacement character U+FFFD marks a record too; words with lost characters are
+filled in from their twin where one fits what is left (`regained`), and stay as they are elsewhere.
 
 Defined cases: null and empty texts are no cases; without evidence no chain is learned and only U+FFFD counts; rows
 given twice are found twice by row and once by key; a lone letter such as a cited "Â" is no sequence and stays.
@@ -26,6 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut_lineage
+
 LOST = "�"
 RUN = regex.compile(r"[^\x00-\x7F]+")
 #: Encodings that UTF-8 may have been read in; a chain is one of them, or two, first mistake first.
@@ -33,7 +36,7 @@ CODECS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp1255",
 #: (read in, written in) for single-byte text; only words without any ASCII letter are tried.
 LEGACY = [(a, b) for a in ("cp1252", "latin-1", "mac_roman", "cp437") for b in ("cp1251", "cp1253", "cp1255", "iso8859_5", "iso8859_7", "iso8859_8", "koi8_r", "cp866", "mac_cyrillic", "mac_greek")]
 #: Characters that may have been garbled: letters of the scripts at hand, and punctuation.
-REPERTOIRE = [*range(0xA0, 0x250), *range(0x300, 0x530), *range(0x591, 0x5F5), *range(0x1F00, 0x2000), *range(0x2010, 0x2045), 0x20AC, 0x2122]
+REPERTOIRE = [*range(0xA0, 0x250), *range(0x300, 0x483), *range(0x48A, 0x530), *range(0x591, 0x5F5), *range(0x1F00, 0x2000), *range(0x2010, 0x2045), 0x20AC, 0x2122]
 KNOWN = {*map(chr, REPERTOIRE), *map(chr, range(32, 127))}
 WORD_ENDS = r"[\s<>\"=\[\]/]+"
 #: A word of accented western letters and marks, without any ASCII letter.
@@ -256,6 +259,54 @@ def restored(texts: DataFrame, encodings: list[str], legacy: list[tuple[str, str
     return texts.filter(F.col("value").rlike(r"[^\x00-\x7F]")).mapInPandas(restore, f"{fields}, original string")
 
 
+def twins_of(texts: DataFrame) -> DataFrame:
+    """skeleton, twin: the simplest, then most frequent, whole word of each skeleton, from column `value`."""
+    words = (
+        texts.select(F.explode(F.split("value", WORD_ENDS)).alias("word"))
+        .filter(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains(LOST))
+        .groupBy("word")
+        .agg(F.count("*").alias("n"))
+        .withColumn("odd", F.length(F.regexp_replace("word", r"[\x00-\x7F]+", "")))
+        .withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7F]+", ""))
+        .filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
+    )
+    return words.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t")).select("skeleton", F.col("t.word").alias("twin"))
+
+
+def could_be(lost: str, clean: str, encodings: list[str]) -> bool:
+    """Whether the clean run, misread in a learned encoding, shows what is left of a run with lost characters."""
+    pattern = regex.compile("".join(".{1,2}" if c == LOST else regex.escape(c) for c in lost), regex.S)
+    return lost.strip(LOST) == "" or any(pattern.fullmatch(misread(clean, (c,))) for c in encodings)
+
+
+def regained(found: DataFrame, texts: DataFrame, encodings: list[str]) -> DataFrame:
+    """found (field, row_key, part, value, original) with lost words filled in from their twin among whole words.
+
+    A twin counts if it has the same ASCII characters around its other ones and, misread, shows what is left of the
+    lost word; words without such a twin stay as they are.
+    """
+    key = ["field", "row_key", "part"]
+    shape = lambda c: F.regexp_replace(F.col(c), r"[^\x00-\x7F]+", "\u0001")
+    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+
+    @F.pandas_udf("boolean")
+    def fits(lost: pd.Series, clean: pd.Series) -> pd.Series:
+        return pd.Series([all(could_be(a, b, encodings) for a, b in zip(x, y)) for x, y in zip(lost, clean)], dtype=bool)
+
+    broken = found.filter(F.col("original").contains(LOST)).select(*key, F.explode(F.array_distinct(F.split("original", WORD_ENDS))).alias("word")).filter(F.col("word").contains(LOST))
+    known = (
+        broken.select("word").distinct().withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7F]+", ""))
+        .join(twins_of(texts), "skeleton")
+        .filter(shape("word") == shape("twin"))
+        .filter(fits(runs("word"), runs("twin")))
+        .select("word", "twin")
+    )
+    # longer words first, so that none is replaced inside another
+    pairs = broken.join(known, "word").groupBy(*key).agg(F.array_sort(F.collect_set(F.struct((-F.length("word")).alias("n"), "word", "twin"))).alias("pairs"))
+    filled = F.aggregate("pairs", F.col("original"), lambda acc, p: F.replace(acc, p["word"], p["twin"]))
+    return found.join(pairs, key, "left").withColumn("original", F.when(F.col("pairs").isNotNull(), filled).otherwise(F.col("original"))).drop("pairs")
+
+
 def headword_lines(card: Column) -> Column:
     """The lines of a card that begin at column 0."""
     return F.filter(F.split(card, r"\r?\n"), lambda x: x.rlike(r"^[^\t ]"))
@@ -268,8 +319,10 @@ def garbled_fields(definitions: DataFrame, dsl_cards: DataFrame) -> DataFrame:
     return entries.unionByName(heads).filter("value is not null")
 
 
-def found(definitions: DataFrame, dsl_cards: DataFrame, least: int = 3) -> DataFrame:
-    """field, row_key, part, value, original: all garbled strings with their restored form."""
+def found(definitions: DataFrame, dsl_cards: DataFrame, least: int = 3, fill: bool = False) -> DataFrame:
+    """field, row_key, part, value, original: all garbled strings with their restored form; with fill, lost words too."""
     texts = garbled_fields(definitions, dsl_cards)
     vocabulary = definitions.select(F.explode("entries").alias("value")).unionByName(dsl_cards.select(F.col("card").alias("value")))
-    return restored(texts, learn_encodings(texts, least), learn_legacy(texts, vocabulary, least))
+    encodings = learn_encodings(texts, least)
+    rows = restored(texts, encodings, learn_legacy(texts, vocabulary, least))
+    return regained(cut_lineage(rows, "restored"), texts, encodings) if fill else rows

@@ -55,16 +55,12 @@ def p5_links(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d)
 
 
-def _restored(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.found(table(spark, d, "definitions"), table(spark, d, "dsl_cards"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _restored(spark, d).select("field", "row_key").distinct()
+    return mojibake.found(table(spark, d, "definitions"), table(spark, d, "dsl_cards")).select("field", "row_key").distinct()
 
 
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
-    return _restored(spark, d)
+    return mojibake.found(table(spark, d, "definitions"), table(spark, d, "dsl_cards"), fill=True)
 
 
 def _leaked(spark: SparkSession, d: str) -> DataFrame:

@@ -71,3 +71,14 @@ def test_long_text(spark):
     df = texts(spark, ["déjà " * 50_000, J.misread("déjà " * 50_000, ("cp1252",))])
     got = J.restored(df, ["cp1252"]).collect()
     assert [r.row_key for r in got] == [1] and got[0].original == "déjà " * 50_000
+
+
+def test_lost_words_are_filled_in(spark, corpus):
+    clean, _ = corpus
+    lost = ["gr�¼�en", "pr�sent déjà", "coraz��n", "d�j�", "zz�zz", "m�nager"]
+    df = texts(spark, [*clean, *lost]).selectExpr("'f' as field", "row_key", "0 as part", "value")
+    got = J.restored(df, ["cp1252"])
+    filled = {r.value: r.original for r in J.regained(got, df, ["cp1252"]).collect()}
+    assert filled["gr�¼�en"] == "grüßen" and filled["pr�sent déjà"] == "présent déjà" and filled["coraz��n"] == "corazón"
+    assert filled["zz�zz"] == "zz�zz" and filled["m�nager"] == "m�nager"
+    assert J.could_be("�©", "é", ["cp1252"]) and not J.could_be("�©", "ü", ["cp1252"])
