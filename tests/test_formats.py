@@ -225,3 +225,16 @@ def test_arrivals_extend_the_index(spark, tmp_path):
     for _ in range(2):  # what was taken once isn't taken again
         ingest.append_to_index(ingest.read_arrivals(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "ix"), str(tmp_path / "cp")).awaitTermination(60)
     assert index.open_index(spark, str(tmp_path / "ix")).count() == 20
+
+
+def test_settings_round_trip(spark):
+    from lexloom.sources import settings
+
+    start = spark.createDataFrame([("/a.ifo", "A \"q\"", None, 2, None, "GRC"), ("/b.csv", None, "b", None, False, None)], paths.SETTINGS)
+    ordered = settings.remember_order(start, spark.createDataFrame([("/b.csv", 0), ("/c.dsl", 1)], "path string, rank int"))
+    scoped = settings.remember_scope(ordered, spark.createDataFrame([("/b.csv", True), ("/c.dsl", False)], "path string, scope boolean"))
+    text = settings.to_toml(["/books"], ["/books/x"], scoped)
+    roots, excludes, back = paths.read_config(spark, text)
+    assert roots == ["/books"] and [r.path for r in excludes.collect()] == ["/books/x"]
+    got = {r.path: (r.name, r.short, r.cfg_order, r.scope, r.language) for r in back.collect()}
+    assert got == {"/a.ifo": ("A \"q\"", None, None, None, "GRC"), "/b.csv": (None, "b", 0, None, None), "/c.dsl": (None, None, 1, False, None)}
