@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import dsl
+from lexloom.session import cut_lineage
 from lexloom.sources import formats
 from lexloom.sources.paths import classify
 
@@ -83,7 +84,8 @@ def read(spark: SparkSession, path: str | list[str]) -> Dictionaries:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_rows(pdf)), columns=[c.split()[0] for c in _ROWS.split(", ")]).astype(object)
 
-    rows = files.groupBy("stem").applyInPandas(one, _ROWS)
+    # written once, as all five tables come from it and a file takes long to parse
+    rows = cut_lineage(files.groupBy("stem").applyInPandas(one, _ROWS), "parsed")
     kind = lambda k: rows.filter(F.col("kind") == k)
     entry_id = F.when(F.col("format") == "StarDict", F.col("offset").bitwiseXOR(F.shiftleft(F.col("size"), 40)))
     filings = kind("filing").select("path", "format", F.col("no").alias("filing_no"), "word", "offset", "size", "listed", "is_alias", entry_id.alias("entry_id"))

@@ -238,3 +238,16 @@ def test_settings_round_trip(spark):
     assert roots == ["/books"] and [r.path for r in excludes.collect()] == ["/books/x"]
     got = {r.path: (r.name, r.short, r.cfg_order, r.scope, r.language) for r in back.collect()}
     assert got == {"/a.ifo": ("A \"q\"", None, None, None, "GRC"), "/b.csv": (None, "b", 0, None, None), "/c.dsl": (None, None, 1, False, None)}
+
+
+def test_late_repeats_are_dropped(spark, tmp_path):
+    import datetime as dt
+
+    from lexloom.streaming import ingest
+
+    day = lambda n: dt.datetime(2025, 1, n)
+    rows = spark.createDataFrame([(1, day(1)), (2, day(2)), (1, day(3)), (2, day(2))], "slot bigint, loaded_at timestamp")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = ingest.first_arrivals(ingest.read_arrivals(spark, str(tmp_path / "in"), rows.schema))
+    stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(r.slot for r in spark.table("arrived").collect()) == [1, 2]
