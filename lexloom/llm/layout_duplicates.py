@@ -2,7 +2,8 @@
 
 Byte-identical raw rows are collapsed first, so that only distinct survivors are brought to canonical form; these are
 grouped again on the full canonical text, adding up the counts. Both groupings combine before their shuffle, so a
-group that holds a third of all rows costs one row per input partition; slots are never collected into a list.
+group that holds a third of all rows costs one row per input partition; slots are never collected into a list. Members
+get their group by joins whose other side has one row per key; a hot key's rows are then split by adaptive skew joins.
 
 Defined cases: a null word is no headword and belongs to no group; null dict is a dictionary of its own; words
 without any letter or digit have the empty bag and form one group per dictionary; a row given twice with the same
