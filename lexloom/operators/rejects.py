@@ -44,15 +44,16 @@ def csv_records(lines: DataFrame, text: str = "line", keys: tuple[str, ...] = ("
         ("field_count", F.size("_raw") != CSV_FIELDS),
         ("bad_quoting", F.exists("_raw", lambda f: f.startswith('"') & ~f.rlike(f"^{QUOTED}\\z"))),
         ("control_character", F.col("_line").rlike(CSV_CONTROL)),
-        ("bad_id", ~field(1).rlike(whole)),
-        ("bad_number", ~field(5).rlike(whole)),
+        # ANSI casts take signs and blanks as well, so the form is a rule of its own
+        ("bad_id", ~field(1).rlike(whole) | field(1).try_cast("bigint").isNull()),
+        ("bad_number", ~field(5).rlike(whole) | field(5).try_cast("bigint").isNull()),
         ("blank_headword", field(2).rlike(r"^[\s\p{Z}]*\z")),
     )
     return df.select(
         *keys,
         field(0).alias("display"),
         field(1).try_cast("bigint").alias("entry_no"),
-        F.trim(field(2)).alias("headword"),
+        F.regexp_replace(field(2), r"^[\s\p{Z}]+|[\s\p{Z}]+\z", "").alias("headword"),
         field(3).alias("key"),
         field(4).alias("body"),
         field(5).try_cast("bigint").alias("number"),
