@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexloom.functions import keys
 from lexloom.functions.language import PAIR_NAMES, TITLE_PARTS
 from lexloom.plans import catalogue as c
 
@@ -47,6 +48,16 @@ r AS (
 )"""
 
 
+def _asked(query: str) -> str | None:
+    """The condition on headwords that a query sets; None if it asks for nothing."""
+    folded = keys.fold(query.strip())
+    needle = keys.bare(folded)
+    if not needle:
+        return None
+    prefix = f"starts_with(bare_key, '{needle}')"
+    return prefix if needle == keys.strip_homograph(folded) else f"{prefix} AND {_ALLOWS.format(a=f"'{folded}'", b='fold_key')}"
+
+
 _OUT = "bare_key, first_slot, word, members, all_aliases"
 _NEEDLE = f"starts_with(bare_key, '{c.NEEDLE}')"
 _REPEATED = f"starts_with(bare_key, '{c.REPEATED}')"
@@ -130,6 +141,7 @@ def oracle_sql() -> dict[str, str]:
         "prefix_search_scoped": f"WITH {_rows(_NEEDLE + ' AND dict NOT IN (SELECT dict FROM dictionaries WHERE NOT scope)')} SELECT {_OUT} FROM r",
         "prefix_search_marked": f"WITH {_rows(_MARKED)} SELECT {_OUT} FROM r",
         "prefix_search_pointed": f"WITH {_rows(f'starts_with(bare_key, {chr(39)}{c.POINTED}{chr(39)})')} SELECT {_OUT} FROM r",
+        "prefix_search_batch": " UNION ALL ".join(f"SELECT {i}::INT AS query_id, {_OUT} FROM (WITH {_rows(w)} SELECT {_OUT} FROM r)" for i, q in c.QUERIES if (w := _asked(q))),
         "fold_forms": f"""WITH {_rows(_REPEATED)}, ids AS (SELECT DISTINCT dict, word, entry_id FROM k WHERE entry_id IS NOT NULL),
  sh AS (SELECT DISTINCT r.bare_key, r.first_slot, i.dict, i.entry_id FROM r JOIN o ON o.bare_key = r.bare_key AND o.host = r.host JOIN ids i ON i.dict = o.dict AND i.word = o.word),
  se AS (SELECT *, min((bare_key, first_slot)) OVER (PARTITION BY dict, entry_id) AS first FROM sh),
