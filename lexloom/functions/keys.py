@@ -83,7 +83,8 @@ def with_keys(df: DataFrame, word: str = "word") -> DataFrame:
     """df with fold_key, bare_key, fold_class (the fold without homograph number) and plain (no such number)."""
     w = F.col(word)
     ascii_only = ~w.rlike(r"[^\x00-\x7F]")
-    out = df.withColumn("_k", _keys()(F.when(~ascii_only, w)))
+    # called nondeterministic, so that filters on keys don't derive them a second time below
+    out = df.withColumn("_k", _keys().asNondeterministic()(F.when(~ascii_only, w)))
     return out.withColumns(
         {
             "fold_key": F.when(ascii_only, F.lower(w)).otherwise(F.col("_k.fold_key")),

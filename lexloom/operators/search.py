@@ -9,11 +9,12 @@ from __future__ import annotations
 import functools
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import keys
 from lexloom.functions.keys import allows_marks
+from lexloom.session import bounded, cut_lineage
 
 DEFAULT_LIMIT = 500
 _HOSTS = "array<struct<host:string,maximal:boolean>>"
@@ -61,8 +62,8 @@ def group_rows(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFra
     """Rows of spelling groups: by..., first_slot, word, members, all_aliases, ids.
 
     members: struct<dict, spelling> by dictionary, those of the shown spelling before absorbed ones, without repeats
-    that follow each other. ids: the entries of all members. All three groupings follow one exchange by key; only keys
-    with several spellings, of which there are few, go through Python.
+    that follow each other. ids: the entries of all members. One exchange, by key; the rows of a key are then made
+    in its own row. Only keys with several spellings, of which there are few, go through Python.
     """
     classes = (
         found.repartition(*by)
@@ -79,24 +80,29 @@ def group_rows(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFra
     several = F.size("cs") > 1
     spelled = F.transform("cs", lambda c: c["fold_class"])
     alone = F.transform("cs", lambda c: F.struct(c["fold_class"].alias("host"), F.lit(True).alias("maximal")))
-    placed = held.withColumn("hs", _hosts_of()(F.when(several, spelled))).select(*by, F.explode(F.arrays_zip("cs", F.when(several, F.col("hs")).otherwise(alone).alias("hs"))).alias("z"))
-    c, host = F.col("z.cs"), F.col("z.hs.host")
-    own = c["fold_class"] == host
-    member = lambda x: F.struct(x["dict"].alias("dict"), (~own).alias("absorbed"), F.when(own, 0).otherwise(c["class_slot"]).alias("class_slot"), x["slot"].alias("slot"), x["word"].alias("word"))
-    identity = lambda x: F.struct(x["dict"].alias("dict"), x["entry_id"].alias("entry_id"))
-    grouped = placed.groupBy(*by, host.alias("host")).agg(
-        F.min(F.when(own, c["class_slot"])).alias("first_slot"),
-        F.max(F.when(own, c["first"])).alias("first"),
-        F.max(F.when(own, c["first_plain"])).alias("first_plain"),
-        F.bool_and(c["silent"] & F.col("z.hs.maximal")).alias("all_aliases"),
-        F.array_sort(F.flatten(F.collect_list(F.transform(c["m"], member)))).alias("m"),
-        F.array_distinct(F.flatten(F.collect_list(F.transform(F.filter(c["m"], lambda x: x["entry_id"].isNotNull()), identity)))).alias("ids"),
-    )
-    fresh = lambda x, i: (i == 0) | (x != F.get(F.col("members"), i - 1))
+    hosted = held.withColumn("hs", _hosts_of()(F.when(several, spelled)))
+    hosted = hosted.withColumn("zs", F.arrays_zip("cs", F.when(several, F.col("hs")).otherwise(alone).alias("hs")))
+    placed = hosted.select(*by, "zs", F.explode(F.array_distinct(F.transform("zs", lambda z: z["hs"]["host"]))).alias("host"))
+    mine = F.filter("zs", lambda z: z["hs"]["host"] == F.col("host"))
+    c = F.get(F.filter(mine, lambda z: z["cs"]["fold_class"] == F.col("host")), F.lit(0))["cs"]
+
+    def members_of(z: Column) -> Column:
+        absorbed = z["cs"]["fold_class"] != z["hs"]["host"]
+        order = F.when(absorbed, z["cs"]["class_slot"]).otherwise(0)
+        return F.transform(z["cs"]["m"], lambda x: F.struct(x["dict"].alias("dict"), absorbed.alias("absorbed"), order.alias("order"), x["slot"].alias("slot"), x["word"].alias("spelling"), x["entry_id"].alias("entry_id")))
+
+    fresh = lambda x, i: (i == 0) | (x != F.get(F.col("every"), i - 1))
     return (
-        grouped.withColumn("members", F.transform("m", lambda x: F.struct(x["dict"].alias("dict"), x["word"].alias("spelling"))))
-        .withColumn("members", F.filter("members", fresh))
-        .select(*by, "first_slot", F.when(F.col("first.plain"), F.col("first.word")).otherwise(F.coalesce("first_plain.word", "first.word")).alias("word"), "members", "all_aliases", "ids")
+        placed.withColumns({"own": c, "m": F.array_sort(F.flatten(F.transform(mine, members_of)))})
+        .withColumn("every", F.transform("m", lambda x: F.struct(x["dict"].alias("dict"), x["spelling"].alias("spelling"))))
+        .select(
+            *by,
+            F.col("own.class_slot").alias("first_slot"),
+            F.when(F.col("own.first.plain"), F.col("own.first.word")).otherwise(F.coalesce("own.first_plain.word", "own.first.word")).alias("word"),
+            F.filter("every", fresh).alias("members"),
+            F.forall(mine, lambda z: z["cs"]["silent"] & z["hs"]["maximal"]).alias("all_aliases"),
+            F.array_distinct(F.transform(F.filter("m", lambda x: x["entry_id"].isNotNull()), lambda x: F.struct(x["dict"].alias("dict"), x["entry_id"].alias("entry_id")))).alias("ids"),
+        )
     )
 
 
@@ -160,6 +166,8 @@ def batch_search(index: DataFrame, queries: DataFrame, scope: DataFrame | None =
     """
     asked = keys.with_keys(queries.select("query_id", F.trim("query").alias("word")).filter("word is not null"))
     asked = asked.select("query_id", F.col("fold_key").alias("q_fold"), F.col("bare_key").alias("needle"), (F.col("bare_key") != F.col("fold_class")).alias("marked")).filter("needle <> ''")
+    # written and counted, so that needles are broadcast while they are few and the index is streamed past them
+    asked = bounded(cut_lineage(asked, "needles"))
     parts = []
     for size in range(1, stem + 1):
         own = asked.filter(F.length("needle") >= stem) if size == stem else asked.filter(F.length("needle") == size)
