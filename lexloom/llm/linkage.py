@@ -6,8 +6,8 @@
 2. Multi-pass blocking. Rows meet if they share any skeleton, or if their words are at most two edits apart and share
    their beginning or end and two telling words (for words misspelled or inflected throughout). A pair is compared
    once, however many blocks it shares. Blocks with more than
-   `hot_pairs` pairs are split by telling words and labels; a pair that shares neither agrees in nothing but the
-   spelling and is no match, so nothing that could match is lost.
+   `hot_pairs` pairs are cut into a grid of parts, by a hash of the rows on either side; every pair of the block falls
+   into one part, so the size of a block has no influence on what is compared.
 3. Learning from the candidates themselves: which words stand for each other (the one word by which glosses of else
    equal content differ) and which dictionary number of one table is which of the other.
 4. Comparison in agreement levels: word, gloss, label, dictionaries, and whether either row has a partner with a
@@ -131,14 +131,17 @@ def candidates(home: DataFrame, guest: DataFrame, hot_pairs: int = 1_000_000) ->
     Rows go through the blocks as numbers and words only; the other columns are joined to the pairs that are left.
     home and guest are read more than once and must give the same rids each time, as written tables do.
     """
-    keyed = lambda df: df.select("rid", "word_key", "exact", "tokens", "labels", F.explode("keys").alias("key"))
+    keyed = lambda df: df.select("rid", "word_key", "exact", F.explode("keys").alias("key"))
     count = lambda df, n: df.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias(n))
-    hot = count(home, "nh").join(count(guest, "ng"), "key").filter(F.col("nh") * F.col("ng") > hot_pairs).select("key", F.lit(True).alias("hot"))
+    side_parts = F.ceil(F.sqrt(F.col("nh") * F.col("ng") / F.lit(max(hot_pairs, 1)))).cast("int")
+    hot = count(home, "nh").join(count(guest, "ng"), "key").filter(F.col("nh") * F.col("ng") > hot_pairs).select("key", side_parts.alias("parts"))
     hot = bounded(cut_lineage(hot, "hot"))
 
     def block(df: DataFrame, p: str) -> DataFrame:
-        parts = F.concat("tokens", F.transform("labels", lambda x: F.concat(F.lit("L:"), x)))
-        parted = keyed(df).join(hot, "key", "left").withColumn("part", F.explode(F.when(F.col("hot"), parts).otherwise(F.array(F.lit("")))))
+        own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+        # a row is in one line of the grid: home rows in a line across, guest rows in a line down
+        line = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: own * F.col("parts") + x if p == "h" else x * F.col("parts") + own)
+        parted = keyed(df).join(hot, "key", "left").withColumn("part", F.explode(F.when(F.col("parts").isNotNull(), line).otherwise(F.array(F.lit(0)))))
         return parted.select("key", "part", F.col("rid").alias(f"{p}_rid"), F.col("word_key").alias(f"{p}_word"), F.array_contains("exact", F.col("key")).alias(f"{p}_exact"))
 
     near = F.col("h_exact") & F.col("g_exact") | (F.levenshtein("h_word", "g_word", EDITS) >= 0)

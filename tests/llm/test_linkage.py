@@ -93,6 +93,15 @@ def test_blocking_equals_all_pairs_and_hot_blocks_lose_nothing(made):
     assert set(hot) == share and len(hot) == len(share)
 
 
+def test_hot_blocks_keep_pairs_without_common_words_or_labels(spark):
+    home = [(i, "word", [(1, "word")], None, g) for i, g in enumerate([None, "a heavy ditch", "the old bell", None])]
+    guest = [(10 + i, "word", [(2, "word")], label, g) for i, (label, g) in enumerate([(None, None), ("Book", "a heavy trench"), (None, "plough")])]
+    h, g = (K.prepared(spark.createDataFrame(rows, ROWS), set(), None).cache() for rows in (home, guest))
+    for hot_pairs in (0, 1, 5, 1_000_000):
+        got = [(r.h_row_id, r.g_row_id) for r in K.candidates(h, g, hot_pairs).collect()]
+        assert sorted(got) == [(a[0], b[0]) for a in home for b in guest]
+
+
 def test_expectation_maximisation_separates():
     rows = [(2, 4, 1, 3, 0, 900), (2, 0, 0, 0, 1, 500), (2, 3, 1, 2, 0, 300), (2, 1, 0, 0, 1, 90), (2, -1, 1, 3, 0, 60), (2, 0, 1, 1, 1, 40)]
     got = K.expectation_maximisation(pd.DataFrame(rows, columns=[*K.LEVELS, "n"])).confidence.tolist()
