@@ -3,9 +3,10 @@
 1. Keys. Every row gets the skeletons of its word and of all its spellings: look-alike characters, accents, case,
    homograph numbers and orthographic variants (v/u, k/c, y/i, j/i) no longer show. Glosses become sets of telling
    words: words in more than `stop_share` of all glosses are dropped.
-2. Multi-pass blocking. Rows meet if they share any skeleton, or if their words are at most two edits apart and share
-   their beginning or end and two telling words (for words misspelled or inflected throughout). A pair is compared
-   once, however many blocks it shares. Blocks with more than
+2. Multi-pass blocking. Rows meet if they share any skeleton, or if their words are at most two edits apart (for words
+   misspelled or inflected throughout), whatever their glosses. Distinct words that near are found by keys that miss
+   none: of three parts of a word, two edits leave one whole. A pair is compared once, however many blocks it shares.
+   Blocks with more than
    `hot_pairs` pairs are cut into a grid of parts, by a hash of the rows on either side; every pair of the block falls
    into one part, so the size of a block has no influence on what is compared.
 3. Learning from the candidates themselves: which words stand for each other (the one word by which glosses of else
@@ -25,7 +26,6 @@ ignored.
 from __future__ import annotations
 
 import functools
-import itertools
 import re
 import unicodedata as U
 from collections.abc import Iterator
@@ -45,8 +45,8 @@ GRAMMAR = frozenset("adj adv prep conj pron especially".split())
 #: Letters written for each other in one language's spelling.
 VARIANTS = str.maketrans("vkyj", "ucii")
 ROW = "row_id bigint, keys array<string>, exact array<string>, word_key string, tokens array<string>, label string, labels array<string>, dicts array<int>"
-#: Letters of the beginning or end, and edits, by which misspelled words meet.
-EDGE, EDITS = 4, 2
+#: Edits by which words misspelled throughout may differ.
+EDITS = 2
 LEVELS = ("word_level", "gloss_level", "label_level", "dict_level", "rival_level")
 #: The gloss level from which another pair of the same row is a rival.
 GOOD_GLOSS = 3
@@ -102,8 +102,37 @@ def common_words(*tables: DataFrame, stop_share: float = 0.08) -> set[str]:
     return {r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > stop_share * n).collect()}
 
 
-def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None) -> DataFrame:
-    """Rows with their keys; dict_labels gives the labels of a row's dictionaries where its numbers are known."""
+def _cuts(length: int) -> list[int]:
+    return [length * i // (EDITS + 1) for i in range(EDITS + 2)]
+
+
+def own_parts(word: str) -> set[str]:
+    """EDITS + 1 parts of the word, with its length: EDITS edits leave at least one of them whole."""
+    at = _cuts(len(word))
+    return {f"<{len(word)}.{i}.{word[at[i] : at[i + 1]]}" for i in range(EDITS + 1)}
+
+
+def parts_met(word: str) -> set[str]:
+    """The own_parts of other words that this one holds where they can stand if it is at most EDITS edits away.
+
+    Part i is looked for where at most i edits lie before it and at most EDITS - i behind it; some part is always there
+    (Li, Deng, Wang and Feng 2011).
+    """
+    out = set()
+    for length in range(max(1, len(word) - EDITS), len(word) + EDITS + 1):
+        at, more = _cuts(length), len(word) - length
+        for i in range(EDITS + 1):
+            size = at[i + 1] - at[i]
+            first, last = max(at[i] - i, at[i] + more - (EDITS - i), 0), min(at[i] + i, at[i] + more + EDITS - i, len(word) - size)
+            out |= {f"<{length}.{i}.{word[p : p + size]}" for p in range(first, last + 1)}
+    return out
+
+
+def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None, side: str | None = None) -> DataFrame:
+    """Rows with their keys; dict_labels gives the labels of a row's dictionaries where its numbers are known.
+
+    Two words meet if one has the parts of its side h and the other those of side g; without a side, a row has both.
+    """
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -114,8 +143,9 @@ def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None
                 word_key = own_keys[0] if own_keys else ""
                 exact = {*own_keys, *(k for m in members for k in skeletons(m["spelling"]))}
                 tokens = sorted({w for w in words_of(gloss) if w not in stop})
-                ends = (f"<{word_key[:EDGE]}", f"{word_key[-EDGE:]}>") if word_key else ()
-                keys = exact | {f"{e}|{x}|{y}" for e in ends for x, y in itertools.combinations(tokens, 2)}
+                keys = exact.copy()
+                if word_key:
+                    keys |= (own_parts(word_key) if side != "g" else set()) | (parts_met(word_key) if side != "h" else set())
                 dicts = sorted({int(m["dict"]) for m in members if m["dict"] is not None})
                 own = label_key(label)
                 known = {own, *(label_key(dict_labels.get(d)) for d in dicts)} if dict_labels else {own}
@@ -125,27 +155,43 @@ def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None
     return rows.select("row_id", "word", "members", "label", "gloss").mapInPandas(prepare, ROW).withColumn("rid", F.monotonically_increasing_id())
 
 
-def candidates(home: DataFrame, guest: DataFrame, hot_pairs: int = 1_000_000) -> DataFrame:
-    """All pairs that share a block, each once, with the prepared columns of both rows (h_..., g_...).
-
-    Rows go through the blocks as numbers and words only; the other columns are joined to the pairs that are left.
-    home and guest are read more than once and must give the same rids each time, as written tables do.
-    """
-    keyed = lambda df: df.select("rid", "word_key", "exact", F.explode("keys").alias("key"))
-    count = lambda df, n: df.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias(n))
+def meeting(home: DataFrame, guest: DataFrame, hot_pairs: int) -> DataFrame:
+    """All pairs of home (key, h_id) and guest (key, g_id) that share a key, once per key; blocks over hot_pairs are cut into a grid."""
+    count = lambda df, n: df.groupBy("key").agg(F.count("*").alias(n))
     side_parts = F.ceil(F.sqrt(F.col("nh") * F.col("ng") / F.lit(max(hot_pairs, 1)))).cast("int")
     hot = count(home, "nh").join(count(guest, "ng"), "key").filter(F.col("nh") * F.col("ng") > hot_pairs).select("key", side_parts.alias("parts"))
     hot = bounded(cut_lineage(hot, "hot"))
 
-    def block(df: DataFrame, p: str) -> DataFrame:
-        own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    def parted(df: DataFrame, p: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(f"{p}_id"), F.col("parts")).cast("int")
         # a row is in one line of the grid: home rows in a line across, guest rows in a line down
         line = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: own * F.col("parts") + x if p == "h" else x * F.col("parts") + own)
-        parted = keyed(df).join(hot, "key", "left").withColumn("part", F.explode(F.when(F.col("parts").isNotNull(), line).otherwise(F.array(F.lit(0)))))
-        return parted.select("key", "part", F.col("rid").alias(f"{p}_rid"), F.col("word_key").alias(f"{p}_word"), F.array_contains("exact", F.col("key")).alias(f"{p}_exact"))
+        return df.join(hot, "key", "left").select("key", f"{p}_id", F.explode(F.when(F.col("parts").isNotNull(), line).otherwise(F.array(F.lit(0)))).alias("part"))
+
+    return parted(home, "h").join(parted(guest, "g"), ["key", "part"])
+
+
+def candidates(home: DataFrame, guest: DataFrame, hot_pairs: int = 1_000_000) -> DataFrame:
+    """All pairs that share a skeleton or whose words are at most EDITS apart, each once, with the prepared columns of both rows (h_..., g_...).
+
+    Words near each other are found among distinct words, so that the number of their rows has no part in it; rows go
+    through the blocks as numbers only, and the other columns are joined to the pairs that are left.
+    home and guest are read more than once and must give the same rids each time, as written tables do.
+    """
+
+    def words(df: DataFrame, p: str) -> DataFrame:
+        each = df.filter("word_key <> ''").select("word_key", F.array_except("keys", "exact").alias("near")).dropDuplicates(["word_key"])
+        return each.select(F.col("word_key").alias(f"{p}_id"), F.explode("near").alias("key"))
+
+    near = meeting(words(home, "h"), words(guest, "g"), hot_pairs).filter((F.col("h_id") != F.col("g_id")) & (F.levenshtein("h_id", "g_id", EDITS) >= 0))
+    near = cut_lineage(near.select(F.col("h_id").alias("h_word"), F.col("g_id").alias("g_word")).distinct(), "near")
+
+    def keyed(df: DataFrame, p: str) -> DataFrame:
+        same = df.select(F.explode("exact").alias("key"), F.col("rid").alias(f"{p}_id"))
+        pair = near.select(F.col(f"{p}_word").alias("word_key"), F.concat(F.lit("<"), "h_word", F.lit("<"), "g_word").alias("key"))
+        return same.unionByName(df.select("rid", "word_key").join(pair, "word_key").select("key", F.col("rid").alias(f"{p}_id")))
 
-    near = F.col("h_exact") & F.col("g_exact") | (F.levenshtein("h_word", "g_word", EDITS) >= 0)
-    pairs = block(home, "h").join(block(guest, "g"), ["key", "part"]).filter(near).select("h_rid", "g_rid").distinct()
+    pairs = meeting(keyed(home, "h"), keyed(guest, "g"), hot_pairs).select(F.col("h_id").alias("h_rid"), F.col("g_id").alias("g_rid")).distinct()
     side = lambda df, p: df.drop("keys").select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "keys"])
     return pairs.join(side(home, "h"), "h_rid").join(side(guest, "g"), "g_rid")
 
@@ -252,7 +298,7 @@ def link(home: DataFrame, guest: DataFrame, dictionaries: DataFrame | None = Non
     labels = {} if dictionaries is None else {r.dict: r.label for r in dictionaries.select("dict", "label").collect()}
     stop = common_words(home, guest)
     # written once: blocks are counted and joined from them
-    ready = [cut_lineage(prepared(t, stop, known), "keys") for t, known in ((home, labels), (guest, None))]
+    ready = [cut_lineage(prepared(t, stop, known, side), "keys") for t, known, side in ((home, labels, "h"), (guest, None, "g"))]
     pairs = cut_lineage(candidates(*ready, hot_pairs), "pairs")
     scored = cut_lineage(compared(pairs, learned_synonyms(pairs), learned_dicts(pairs)), "compared")
     patterns = scored.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()

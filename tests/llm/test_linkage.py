@@ -102,6 +102,27 @@ def test_hot_blocks_keep_pairs_without_common_words_or_labels(spark):
         assert sorted(got) == [(a[0], b[0]) for a in home for b in guest]
 
 
+def test_words_two_edits_apart_meet_wherever_the_edits_are(spark):
+    rng = random.Random(5)
+    pairs = {("pagoret", "pagaret"), ("magoret", "magorex"), ("xagoretilumx", "yagoretilumy"), ("ab", "abcd"), ("a", "abc")}
+    for _ in range(300):
+        a = b = "".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 12)))
+        for _ in range(2):
+            at = rng.randint(0, len(b))
+            b = b[:at] + rng.choice(["", rng.choice("abcdefg")]) + b[at + rng.randint(0, 1) :]
+        if b and edits(a, b) <= K.EDITS:
+            pairs.add((a, b))
+    for a, b in pairs:
+        assert K.own_parts(a) & K.parts_met(b), (a, b)
+    rows = lambda i: [(n * 10 + i, p[i], [(1, p[i])], None, None) for n, p in enumerate(sorted(pairs))]
+    h, g = (K.prepared(spark.createDataFrame(rows(i), ROWS), set(), None, side).cache() for i, side in ((0, "h"), (1, "g")))
+    keys = lambda rs: [(r.row_id, set(r.exact), r.word_key) for r in rs.collect()]
+    want = {(i, j) for i, x, a in keys(h) for j, y, b in keys(g) if x & y or edits(a, b) <= K.EDITS}
+    for hot_pairs in (3, 1_000_000):
+        got = [(r.h_row_id, r.g_row_id) for r in K.candidates(h, g, hot_pairs).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_expectation_maximisation_separates():
     rows = [(2, 4, 1, 3, 0, 900), (2, 0, 0, 0, 1, 500), (2, 3, 1, 2, 0, 300), (2, 1, 0, 0, 1, 90), (2, -1, 1, 3, 0, 60), (2, 0, 1, 1, 1, 40)]
     got = K.expectation_maximisation(pd.DataFrame(rows, columns=[*K.LEVELS, "n"])).confidence.tolist()
