@@ -2,7 +2,7 @@
 
 1. Keys. Every row gets the skeletons of its word and of all its spellings: look-alike characters, accents, case,
    homograph numbers and orthographic variants (v/u, k/c, y/i, j/i) no longer show. Glosses become sets of telling
-   words: words in more than `stop_share` of all glosses are dropped.
+   words: words in more than `stop_share` of all glosses are dropped, each lemma counted alike.
 2. Multi-pass blocking. Rows meet if they share any skeleton, or if their words are at most two edits apart (for words
    misspelled or inflected throughout), whatever their glosses. Distinct words that near are found by keys that miss
    none: of three parts of a word, two edits leave one whole. A pair is compared once, however many blocks it shares.
@@ -94,12 +94,28 @@ def words_of(gloss: str | None) -> list[str]:
     return [] if not gloss else [w for w in LETTERS.findall(U.normalize("NFKC", gloss).casefold()) if len(w) > 2 and w not in GRAMMAR]
 
 
+@functools.cache
+def _lemma():
+    @F.pandas_udf("string")
+    def lemma(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: next(iter(skeletons(w)), None))
+
+    return lemma
+
+
 def common_words(*tables: DataFrame, stop_share: float = 0.08) -> set[str]:
-    """Words in more than stop_share of all glosses: at most (words of a gloss) / stop_share of them."""
-    glosses = functools.reduce(DataFrame.unionByName, [t.select("gloss") for t in tables]).filter("gloss is not null")
-    n = glosses.count()
-    words = glosses.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("gloss"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    return {r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > stop_share * n).collect()}
+    """Words in more than stop_share of all glosses if every lemma has the same weight, however many rows it has.
+
+    There are at most (words of a gloss) / stop_share of them. Rows without any spelling are lemmas of their own.
+    """
+    spelling = F.coalesce("word", F.get("members", F.lit(0))["spelling"]).alias("spelling")
+    rows = functools.reduce(DataFrame.unionByName, [t.select(spelling, "gloss") for t in tables]).filter("gloss is not null").distinct()
+    rows = cut_lineage(rows.select(F.coalesce(_lemma()("spelling"), F.concat(F.lit("<"), "gloss")).alias("lemma"), "gloss"), "glosses")
+    lemmas = rows.groupBy("lemma").agg(F.count("*").alias("glosses"))
+    n = lemmas.count()
+    words = rows.select("lemma", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("gloss"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    shares = words.groupBy("lemma", "w").agg(F.count("*").alias("n")).join(lemmas, "lemma").groupBy("w").agg(F.sum(F.col("n") / F.col("glosses")).alias("n"))
+    return {r.w for r in shares.filter(F.round("n", 6) > stop_share * n).collect()}
 
 
 def _cuts(length: int) -> list[int]:

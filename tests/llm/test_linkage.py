@@ -123,6 +123,18 @@ def test_words_two_edits_apart_meet_wherever_the_edits_are(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_a_hot_lemma_keeps_the_words_of_its_meaning(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(5))
+    gloss = lambda a, x: f"the {x} {a} kept by the {rng.choice(ADJS)} {rng.choice(NOUNS[5:])}"
+    rows = [(word(), gloss(rng.choice(NOUNS[5:]), rng.choice(ADJS))) for _ in range(200)]
+    rows += [(rng.choice(["Hotword", "hotword", "hotword (2)"]), gloss("ditch", "humid")) for _ in range(150)]
+    rows += [(None, gloss("bell", "humid")) for _ in range(3)]
+    df = spark.createDataFrame([(i, w, [] if w is None else [(1, w)], None, g) for i, (w, g) in enumerate(rows)], ROWS)
+    stop = K.common_words(df)
+    assert {"the", "kept", "by"} <= stop and not {"ditch", "humid", "bell"} & stop
+
+
 def test_expectation_maximisation_separates():
     rows = [(2, 4, 1, 3, 0, 900), (2, 0, 0, 0, 1, 500), (2, 3, 1, 2, 0, 300), (2, 1, 0, 0, 1, 90), (2, -1, 1, 3, 0, 60), (2, 0, 1, 1, 1, 40)]
     got = K.expectation_maximisation(pd.DataFrame(rows, columns=[*K.LEVELS, "n"])).confidence.tolist()
