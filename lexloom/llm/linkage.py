@@ -212,22 +212,35 @@ def candidates(home: DataFrame, guest: DataFrame, hot_pairs: int = 1_000_000) ->
     return pairs.join(side(home, "h"), "h_rid").join(side(guest, "g"), "g_rid")
 
 
-def learned_synonyms(pairs: DataFrame, least: int = 5, share: float = 0.4) -> dict[str, str]:
-    """guest word -> home word, from pairs whose glosses agree in two or more words and differ in just one.
+def synonym_table(pairs: DataFrame, least: int = 5, share: float = 0.4) -> DataFrame:
+    """g (guest word), h (home word): from pairs whose glosses agree in two or more words and differ in just one.
 
-    least grows with the evidence (a thousandth of it), which bounds what is fetched to a thousand rows.
+    Evidence is what differs in word or glosses, `least` such cases whatever the size of the tables; which word stands
+    for g is told by the number of lemmas, so that one with many rows has one voice.
     """
     only = lambda a, b: F.array_except(f"{a}_tokens", f"{b}_tokens")
     one = (
         pairs.filter((F.size(F.array_intersect("h_tokens", "g_tokens")) > 1) & (F.size(only("g", "h")) == 1) & (F.size(only("h", "g")) == 1))
-        .select(F.get(only("g", "h"), F.lit(0)).alias("g"), F.get(only("h", "g"), F.lit(0)).alias("h"))
-        .groupBy("g", "h")
+        .select(F.get(only("g", "h"), F.lit(0)).alias("g"), F.get(only("h", "g"), F.lit(0)).alias("h"), "h_word_key", "h_tokens", "g_tokens")
+        .distinct()
+        .groupBy("g", "h", "h_word_key")
         .agg(F.count("*").alias("n"))
+        .groupBy("g", "h")
+        .agg(F.count("*").alias("lemmas"), F.sum("n").alias("n"))
     )
-    one = cut_lineage(one, "synonyms")
-    by = one.groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "h")).alias("best"))
-    floor = max(least, (one.agg(F.sum("n").alias("n")).first().n or 0) // 1000)
-    return {r.g: r.best.h for r in by.filter((F.col("best.n") >= floor) & (F.col("best.n") >= share * F.col("all"))).collect()}
+    by = one.groupBy("g").agg(F.sum("lemmas").alias("all"), F.max(F.struct("lemmas", "n", "h")).alias("best"))
+    return by.filter((F.col("best.n") >= least) & (F.col("best.lemmas") >= share * F.col("all"))).select("g", F.col("best.h").alias("h"))
+
+
+def learned_synonyms(pairs: DataFrame, least: int = 5, share: float = 0.4) -> dict[str, str]:
+    """synonym_table as a dict, to look at; link joins the table instead."""
+    return {r.g: r.h for r in synonym_table(pairs, least, share).collect()}
+
+
+def translated(guest: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """g_rid, g_same: the gloss words of the guest rows that have any, with each word in place of its synonym."""
+    words = guest.select(F.col("rid").alias("g_rid"), F.explode("tokens").alias("g"))
+    return words.join(synonyms, "g", "left").groupBy("g_rid").agg(F.collect_set(F.coalesce("h", "g")).alias("g_same"))
 
 
 def learned_dicts(pairs: DataFrame, least: int = 20) -> dict[int, int]:
@@ -244,12 +257,11 @@ def learned_dicts(pairs: DataFrame, least: int = 20) -> dict[int, int]:
     return {int(r.g): int(r.h) for r in counts.sort_values("lift").groupby("g").tail(1).itertuples()}
 
 
-def compared(pairs: DataFrame, synonyms: dict[str, str], dicts: dict[int, int]) -> DataFrame:
-    """Pairs with their agreement levels (pairs is read more than once); -1 where an attribute is missing on either side."""
-    translate = lambda c, m: F.array_distinct(F.transform(c, lambda x: F.coalesce(F.try_element_at(m, x), x)))
+def compared(pairs: DataFrame, spoken: DataFrame, dicts: dict[int, int]) -> DataFrame:
+    """Pairs with their agreement levels; -1 where an attribute is missing on either side. spoken: guest words as translated gives them."""
     table = lambda m, kind: F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) if m else F.create_map().cast(kind)
-    same = translate("g_tokens", table(synonyms, "map<string,string>"))
-    df = pairs.withColumn("same", F.array_intersect(same, "h_tokens")).withColumn("g_size", F.size(same))
+    same = F.coalesce("g_same", F.array().cast("array<string>"))
+    df = pairs.join(spoken, "g_rid", "left").withColumn("same", F.array_intersect(same, "h_tokens")).withColumn("g_size", F.size(same))
     shorter = F.least("g_size", F.size("h_tokens"))
     ratio = F.size("same") / shorter
     gloss = (
@@ -316,7 +328,9 @@ def link(home: DataFrame, guest: DataFrame, dictionaries: DataFrame | None = Non
     # written once: blocks are counted and joined from them
     ready = [cut_lineage(prepared(t, stop, known, side), "keys") for t, known, side in ((home, labels, "h"), (guest, None, "g"))]
     pairs = cut_lineage(candidates(*ready, hot_pairs), "pairs")
-    scored = cut_lineage(compared(pairs, learned_synonyms(pairs), learned_dicts(pairs)), "compared")
+    synonyms = bounded(cut_lineage(synonym_table(pairs), "synonyms"))
+    spoken = cut_lineage(translated(ready[1], synonyms), "spoken")
+    scored = cut_lineage(compared(pairs, spoken, learned_dicts(pairs)), "compared")
     patterns = scored.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()
     if patterns.empty:
         return scored.withColumn("confidence", F.lit(None).cast("double"))

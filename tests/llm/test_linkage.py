@@ -135,6 +135,18 @@ def test_a_hot_lemma_keeps_the_words_of_its_meaning(spark):
     assert {"the", "kept", "by"} <= stop and not {"ditch", "humid", "bell"} & stop
 
 
+def test_a_hot_lemma_does_not_hide_the_synonyms_of_the_others(spark):
+    tokens = lambda *ws: sorted(ws)
+    rows = [(f"word{i}", tokens("ditch", f"a{i}", f"b{i}"), tokens("trench", f"a{i}", f"b{i}")) for i in range(5)]
+    rows += [("hot", tokens("bell", "x", "y"), tokens("chime", "x", "y"))] * 9_000
+    rows += [("hot", tokens("bell", "x", "y", f"c{i}"), tokens("trench", "x", "y", f"c{i}")) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "h_word_key string, h_tokens array<string>, g_tokens array<string>")
+    # the first is told by five lemmas against one, the other by one case given often
+    assert K.learned_synonyms(pairs) == {"trench": "ditch"}
+    guest = spark.createDataFrame([(1, ["a", "trench", "ditch"]), (2, []), (3, ["bell"])], "rid bigint, tokens array<string>")
+    assert {r.g_rid: sorted(r.g_same) for r in K.translated(guest, K.synonym_table(pairs)).collect()} == {1: ["a", "ditch"], 3: ["bell"]}
+
+
 def test_expectation_maximisation_separates():
     rows = [(2, 4, 1, 3, 0, 900), (2, 0, 0, 0, 1, 500), (2, 3, 1, 2, 0, 300), (2, 1, 0, 0, 1, 90), (2, -1, 1, 3, 0, 60), (2, 0, 1, 1, 1, 40)]
     got = K.expectation_maximisation(pd.DataFrame(rows, columns=[*K.LEVELS, "n"])).confidence.tolist()
