@@ -140,13 +140,14 @@ def _running():
     return count
 
 
-def sense_lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line_no, line, sense (0 before the first), kind: body, sense or within, for each line of a text.
+def sense_lines(texts: DataFrame, key: str | tuple[str, ...], text: str) -> DataFrame:
+    """key (one column or several), line_no, line, sense (0 before the first), kind: body, sense or within, for each line of a text.
 
     The running count is inside each text, so lines never leave their row's task and nothing is shuffled.
     """
-    df = texts.filter(F.col(text).isNotNull()).select(key, F.split(F.col(text), "\n").alias("_lines"))
+    key = (key,) if isinstance(key, str) else key
+    df = texts.filter(F.col(text).isNotNull()).select(*key, F.split(F.col(text), "\n").alias("_lines"))
     df = df.withColumn("_starts", F.transform("_lines", starts_a_sense)).withColumn("_sense", _running()(F.col("_starts")))
-    rows = df.select(key, F.posexplode(F.arrays_zip("_lines", "_starts", "_sense")).alias("line_no", "l"))
+    rows = df.select(*key, F.posexplode(F.arrays_zip("_lines", "_starts", "_sense")).alias("line_no", "l"))
     kind = F.when(F.col("l._starts"), "sense").when((F.col("l._sense") > 0) & (F.trim("l._lines") != ""), "within").otherwise("body")
-    return rows.select(key, "line_no", F.col("l._lines").alias("line"), F.col("l._sense").alias("sense"), kind.alias("kind"))
+    return rows.select(*key, "line_no", F.col("l._lines").alias("line"), F.col("l._sense").alias("sense"), kind.alias("kind"))

@@ -231,6 +231,12 @@ def sense_lines(spark: SparkSession, d: str) -> DataFrame:
     return collection.sense_lines(texts, "def_id", "text")
 
 
+def sense_lines_all(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all entries of a definition, not only of its first as sense_lines gives them."""
+    entries = table(spark, d, "definitions").select("def_id", F.posexplode("entries").alias("part", "entry"))
+    return collection.sense_lines(entries, ("def_id", "part"), "entry")
+
+
 def fuzzy_keys(spark: SparkSession, d: str) -> DataFrame:
     """Beyond the plain search: keys at most two edits from a word."""
     near = F.levenshtein(F.col("bare_key"), F.lit(NEAR), 2)
@@ -271,6 +277,6 @@ def queries() -> dict[str, Query]:
         prefix_search_all, prefix_search_scoped, prefix_search_marked, prefix_search_pointed, prefix_search_batch, fold_forms, key_aligned_limit, page_rows, spelling_classes,
         resolve_word, row_language_tags, exact_lookup, definitions_ranked, reading_order, order_repair, scope_default, shelf, label_collisions,
         label_disambiguated, language_tag, language_pair, language_group_order, path_classify, discovered, b64_offsets, tsv_first_wins, link_targets,
-        html_text, html_runs, sense_lines, fuzzy_keys, dsl_filings, dsl_html, p1_found, p1_reasons, p1_valid,
+        html_text, html_runs, sense_lines, sense_lines_all, fuzzy_keys, dsl_filings, dsl_html, p1_found, p1_reasons, p1_valid,
     )
     return {f.__name__: f for f in own}

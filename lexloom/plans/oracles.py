@@ -179,5 +179,9 @@ def oracle_sql() -> dict[str, str]:
         "sense_lines": r"""WITH l AS (SELECT def_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT def_id, string_split(entries[1], chr(10)) AS x FROM definitions WHERE entries[1] IS NOT NULL)),
  s AS (SELECT *, regexp_matches(line, '^\s*(?:¶|- |[0-9IVXivx]+[.)])') AS starts FROM l), n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY def_id ORDER BY line_no) AS sense FROM s)
  SELECT def_id, line_no::INT AS line_no, line, sense::INT AS sense, CASE WHEN starts THEN 'sense' WHEN sense > 0 AND trim(line) <> '' THEN 'within' ELSE 'body' END AS kind FROM n""",
+        "sense_lines_all": r"""WITH e AS (SELECT def_id, unnest(range(0, len(entries))) AS part, unnest(entries) AS entry FROM definitions),
+ l AS (SELECT def_id, part, unnest(range(0, len(x))) AS line_no, unnest(x) AS line FROM (SELECT def_id, part, string_split(entry, chr(10)) AS x FROM e WHERE entry IS NOT NULL)),
+ s AS (SELECT *, regexp_matches(line, '^\s*(?:¶|- |[0-9IVXivx]+[.)])') AS starts FROM l), n AS (SELECT *, sum(starts::INT) OVER (PARTITION BY def_id, part ORDER BY line_no) AS sense FROM s)
+ SELECT def_id, part::INT AS part, line_no::INT AS line_no, line, sense::INT AS sense, CASE WHEN starts THEN 'sense' WHEN sense > 0 AND trim(line) <> '' THEN 'within' ELSE 'body' END AS kind FROM n""",
         "fuzzy_keys": f"WITH {_KEYED} SELECT slot, bare_key, levenshtein(bare_key, '{c.NEAR}')::INT AS edits FROM k WHERE levenshtein(bare_key, '{c.NEAR}') <= 2",
     }

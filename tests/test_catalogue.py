@@ -34,3 +34,9 @@ def test_query(spark, data, other, name):
 
 def test_sql_belongs_to_queries():
     assert set(oracles.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_sense_lines_of_all_entries(spark, data):
+    parts = spark.read.parquet(f"{data}/definitions.parquet").selectExpr("def_id", "posexplode(entries) as (part, entry)").filter("entry is not null").select("def_id", "part")
+    got = catalogue.queries()["sense_lines_all"](spark, data).select("def_id", "part").distinct()
+    assert parts.filter("part > 0").count() and not parts.exceptAll(got).count() and not got.exceptAll(parts).count()
