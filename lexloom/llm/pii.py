@@ -3,7 +3,9 @@
 Regular expressions propose spans, each with a base score; validators (check letters and digits, Luhn, mod 97) raise
 the score of numbers they confirm, and words near the span raise or lower it. Spans that reach THRESHOLD are kept; of
 overlapping ones the kind that is named first in KINDS wins, then the longer. Positions are code points from 1, as in
-the text itself: it isn't normalised first. Whole texts are searched; every row is treated by itself.
+the text itself: it isn't normalised first. Whole texts are searched. Given names that aren't in GIVEN are learned from
+all documents first: words that stand before many different family names where title, signature or verb tell a name.
+Apart from that every row is treated by itself.
 
 Defined cases: null and empty texts have no spans and come out unchanged; equal rows get equal results; a null id is
 kept; other columns of the input are ignored by `spans`, kept by `redacted`.
@@ -174,22 +176,55 @@ def _word(w: str) -> bool:
     return w.casefold().strip(".’'-") not in NO_NAME
 
 
-def _names(text: str) -> Iterator[Span]:
+def _told(text: str, start: int, end: int) -> tuple[bool, bool, bool]:
+    """Whether words before, words after and a title tell that a name stands here."""
+    before = text[max(0, start - NEAR) : start]
+    plain = re.sub(rf"{TITLES}\s$", "", before)
+    return bool(_cues["name_before"].search(plain)), bool(_cues["name_after"].search(text[end : end + NEAR])), bool(re.search(rf"(?<!\w){TITLES}\s$", before[-8:]))
+
+
+def name_evidence(text: str) -> Iterator[tuple[str, str, bool]]:
+    """given, family, told: of each two words that could be a name, and whether the words beside them tell so."""
+    at = 0
+    while m := NAME_FIRST.search(text, at):
+        given, last = m["g"], m["f"].split(" ")[-1]
+        at = m.start() + len(given)
+        if _word(given) and _word(last) and len(given) > 1 and len(last) > 2:
+            yield given.casefold(), last.casefold(), any(_told(text, m.start(), m.end()))
+
+
+def learned_given(documents: DataFrame, text: str = "text", least: int = 3, share: float = 0.3) -> frozenset[str]:
+    """Given names told by the words beside them before `least` different family names, and before a `share` of all.
+
+    What is fetched are given names, of which there are few whatever the size of the collection.
+    """
+    from pyspark.sql import functions as F
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(sorted({e for t in b["text"] if t for e in name_evidence(t)}), columns=["given", "family", "told"])
+
+    pairs = documents.select(F.col(text).alias("text")).mapInPandas(gather, "given string, family string, told boolean").groupBy("given", "family").agg(F.max("told").alias("told"))
+    counts = pairs.groupBy("given").agg(F.count_if("told").alias("told"), F.count("*").alias("n"))
+    return frozenset(r.given for r in counts.filter((F.col("told") >= least) & (F.col("told") >= share * F.col("n"))).collect())
+
+
+def _names(text: str, learned: frozenset[str] = frozenset()) -> Iterator[Span]:
+    is_given = lambda w: w.casefold() in _given or w.casefold() in learned
     at = 0
     while m := NAME_FIRST.search(text, at):
         given, middle, family = m["g"], m["m"], m["f"]
         last = family.split(" ")[-1]
         at, end = m.start() + len(given), m.end()
-        if middle and _word(middle) and not _word(last) and middle.casefold() not in _given:
+        if middle and _word(middle) and not _word(last) and not is_given(middle):
             # the family name stood in the middle, before the next sentence
             last, middle, end = middle, None, m.end("m")
         if not (_word(given) and _word(last) and (not middle or _word(middle))) or len(given) < 2 or len(last) < 3:
             continue
-        known = given.casefold() in _given
-        before, after = bool(_cues["name_before"].search(re.sub(rf"{TITLES}\s$", "", text[max(0, m.start() - NEAR) : m.start()]))), bool(_cues["name_after"].search(text[end : end + NEAR]))
-        titled = bool(re.search(rf"(?<!\w){TITLES}\s$", text[max(0, m.start() - 8) : m.start()]))
-        score = 0.2 + 0.5 * known + 0.4 * (before or titled) + 0.4 * after + 0.2 * bool(middle and middle.casefold() in _given)
-        if last.casefold() in _given and not known:
+        known = is_given(given)
+        before, after, titled = _told(text, m.start(), end)
+        score = 0.2 + 0.5 * known + 0.4 * (before or titled) + 0.4 * after + 0.2 * bool(middle and is_given(middle))
+        if is_given(last) and not known:
             score -= 0.3
         if not known and re.match(r"\s*(?:Wordbook|Lexicon|Thesaurus|Glossary|Dictionary|Vocabulary|Handlist|Index|School|Concise|Etymological|Press|Society)\b", text[end : end + 20]):
             score -= 0.6
@@ -199,35 +234,35 @@ def _names(text: str) -> Iterator[Span]:
     at = 0
     while m := NAME_LAST.search(text, at):
         at = m.start() + len(m["f"])
-        known = m["g"].casefold() in _given
+        known = is_given(m["g"])
         last = m["f"].split(" ")[-1]
-        if not _word(m["g"]) or not _word(last) or len(last) < 3 or last.casefold() in _given:
+        if not _word(m["g"]) or not _word(last) or len(last) < 3 or is_given(last):
             continue
         if (n := re.match(rf"(?: [A-ZÀ-Þ]\.)? (?:von |van |de la |de |del |der |d[’'])?({W})", text[m.end() : m.end() + 60])) and _word(n[1]):
             continue  # the given name belongs to the family name behind it
-        before, after = bool(_cues["name_before"].search(re.sub(rf"{TITLES}\s$", "", text[max(0, m.start() - NEAR) : m.start()]))), bool(_cues["name_after"].search(text[m.end() : m.end() + NEAR]))
+        before, after, _ = _told(text, m.start(), m.end())
         score = 0.2 + 0.4 * known + 0.4 * before + 0.4 * after
         yield Span("name", m.start(), m.end(), min(score, 1.0))
 
 
-def find(text: str | None) -> list[Span]:
-    """The spans of a text in order, without overlaps."""
+def find(text: str | None, learned: frozenset[str] = frozenset()) -> list[Span]:
+    """The spans of a text in order, without overlaps; learned: given names besides GIVEN."""
     if not text:
         return []
     kept: list[Span] = []
-    for propose in (_emails, _ids, _addresses, _phones, _names):
+    for propose in (_emails, _ids, _addresses, _phones, lambda t: _names(t, learned)):
         for s in sorted(propose(text), key=lambda s: (s.start - s.end, s.start)):
             if s.score >= THRESHOLD - 1e-9 and all(s.end <= k.start or s.start >= k.end for k in kept):
                 kept.append(s)
     return sorted(kept, key=lambda s: s.start)
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, learned: frozenset[str] = frozenset()) -> str | None:
     """The text with each span replaced by the placeholder of its kind and nothing else changed."""
     if not text:
         return text
     parts, at = [], 0
-    for s in find(text):
+    for s in find(text, learned):
         parts += [text[at : s.start], PLACEHOLDER[s.kind]]
         at = s.end
     return "".join(parts) + text[at:]
@@ -235,10 +270,11 @@ def redact(text: str | None) -> str | None:
 
 def spans(documents: DataFrame) -> DataFrame:
     """doc_id, kind, start_pos, end_pos (of the last character), score: one row per occurrence."""
+    learned = learned_given(documents)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, s.kind, s.start + 1, s.end, s.score) for d, t in zip(b.doc_id, b.text) for s in find(t)]
+            rows = [(d, s.kind, s.start + 1, s.end, s.score) for d, t in zip(b.doc_id, b.text) for s in find(t, learned)]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_pos", "end_pos", "score"]).astype({"doc_id": "Int64", "start_pos": "int64", "end_pos": "int64", "score": "float64"})
 
     return documents.select("doc_id", "text").mapInPandas(search, "doc_id bigint, kind string, start_pos bigint, end_pos bigint, score double")
@@ -248,9 +284,11 @@ def redacted(documents: DataFrame, text: str = "text", to: str = "redacted_text"
     """documents with a column of redacted texts; a column of that name is replaced."""
     from pyspark.sql import functions as F
 
+    learned = learned_given(documents, text)
+
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(redact)
+            yield texts.map(lambda t: redact(t, learned))
 
     return documents.withColumn(to, clean(F.col(text)))

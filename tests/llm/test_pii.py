@@ -72,3 +72,14 @@ def test_redacted_texts_hold_nothing_more(spark, data):
 def test_long_text():
     text = "word " * 100_000 + "call +44 1632 960220"
     assert [s.kind for s in P.find(text)] == ["phone"]
+
+
+def test_given_names_outside_the_list_are_learned(spark):
+    texts = [f"According to Dr {g} {f} the sense is old." for g in ("Wanjiru", "Oyelaran") for f in ("Kamau", "Adeyemi", "Njoroge")]
+    texts += ["The sense, says Wanjiru Otieno here, is old.", "Then Oyelaran Mwangi came.", "So the Vellum Codex says.", "the copy of Dr Vellum Codex", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert P.learned_given(df) == {"wanjiru", "oyelaran"} and not P.find(texts[6])
+    got = {(r.doc_id, texts[r.doc_id][r.start_pos - 1 : r.end_pos]) for r in P.spans(df).collect()}
+    assert {(6, "Wanjiru Otieno"), (7, "Oyelaran Mwangi")} <= got and not any(d == 8 for d, _ in got)
+    clean = [r.redacted_text for r in P.redacted(df).orderBy("doc_id").collect()]
+    assert clean[7] == "Then [NAME] came." and clean[8] == texts[8] and clean[10] is None
