@@ -86,10 +86,21 @@ def _unnested(brackets: Column) -> Column:
 
 
 def _unclosed(text: Column, opening: str, closing: str) -> Column:
-    """Whether an opening sign lacks its closing sign in its line; text is the body, lines joined by LF."""
+    """Whether an opening sign lacks its closing sign in its line; text is the body, lines joined by LF.
+
+    Pairs are removed innermost first; only nesting deeper than that is counted.
+    """
     one = opening[:2] + closing[:2]
     marks = F.regexp_replace(text, rf"({opening}|{closing}|\n)|[^{one}\n]++|[{one}]", "$1")
-    return _drop_pairs(marks, opening + closing, 12).contains(opening.replace("\\", ""))
+    left = _drop_pairs(marks, opening + closing, 12)
+    sign = opening.replace("\\", "")
+    # what is nested deeper is counted, line by line; a closing sign without an opening one counts for nothing
+    depth = lambda line: F.aggregate(
+        F.regexp_extract_all(line, F.lit(f"{opening}|{closing}"), F.lit(0)),
+        F.lit(0),
+        lambda n, x: F.when(x == sign, n + 1).otherwise(F.greatest(n - 1, F.lit(0))),
+    )
+    return F.when(left.rlike(opening + closing), F.exists(F.split(left, "\n"), lambda line: depth(line) > 0)).otherwise(left.contains(sign))
 
 
 def dsl_records(cards: DataFrame, text: str = "card", keys: tuple[str, ...] = ("card_id", "dict", "card_no")) -> DataFrame:

@@ -146,3 +146,15 @@ def test_whole_table_against_the_rules(spark, data):
     bad = {(r.format, r.rec_id) for r in rejects.faulty_records(t("csv_lines"), t("dsl_cards")).collect()}
     want = {("Csv", r.line_id) for r in t("csv_lines").collect() if not csv_valid(r.line)} | {("Dsl", r.card_id) for r in t("dsl_cards").collect() if not card_valid(r.card)}
     assert bad == want and bad
+
+
+def test_comments_and_links_nested_deep(spark):
+    deep = lambda a, b, n, m: f"word\n\t{a * n}x{b * m}"
+    cards = [deep(a, b, n, m) for a, b in (("{{", "}}"), ("<<", ">>")) for n, m in ((12, 12), (13, 13), (40, 40), (40, 39), (39, 40), (14, 12))]
+    cards += ["word\n\t" + "{{" * 20 + "x\n\ty" + "}}" * 20, "word\n\t" + "{{" * 20 + "x" + "}}" * 20 + "\n\t{{y", "word\n\t}}" + "<<" * 20 + "x" + ">>" * 20 + ">>"]
+    df = spark.createDataFrame([(i, 0, i, c) for i, c in enumerate(cards)], CARDS)
+    got = {r.card_id: set(r.errors) & {"open_comment", "open_link"} for r in rejects.dsl_records(df).collect()}
+    for i, card in enumerate(cards):
+        lines = card.split("\n")[1:]
+        want = {name for name, a, b in (("open_comment", "{{", "}}"), ("open_link", "<<", ">>")) if not all(closed(x, a, b) for x in lines)}
+        assert got[i] == want, card
