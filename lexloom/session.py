@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,7 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
 
 
@@ -49,9 +50,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one made here where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only where one machine is all there is, one made here if that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -64,26 +67,41 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    _written[path] = spark
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut_lineage gave; whatever is derived from them must have been written or fetched before."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path in _written:
+            delete(_written.pop(path), path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def _clean() -> None:
     """Best effort: the tables written here are of no use after the application."""
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone by then
-            return
+            continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df marked for broadcast if it is counted to have at most so many rows, else as it is."""
+def bounded(df: DataFrame, rows: int = 100_000, size: int = 32 << 20) -> DataFrame:
+    """df marked for broadcast if it is measured to have at most so many rows and bytes, else as it is."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    measured = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if measured.n <= rows and measured["size"] <= size else df
