@@ -85,7 +85,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.spans(table(spark, d, "documents")).select("doc_id", "kind", "start_pos")
+    """Cards and accounts are redacted as well, but no kind of this query."""
+    return pii.spans(table(spark, d, "documents")).filter(~F.col("kind").isin("card", "iban")).select("doc_id", "kind", "start_pos")
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:

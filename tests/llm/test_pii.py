@@ -83,3 +83,56 @@ def test_given_names_outside_the_list_are_learned(spark):
     assert {(6, "Wanjiru Otieno"), (7, "Oyelaran Mwangi")} <= got and not any(d == 8 for d, _ in got)
     clean = [r.redacted_text for r in P.redacted(df).orderBy("doc_id").collect()]
     assert clean[7] == "Then [NAME] came." and clean[8] == texts[8] and clean[10] is None
+
+
+OUTSIDE = "Kwame Wolfram Ayumi Yevgenia Tendai Ruaridh Ngozi Bronisław Saoirse Torvald Ximena Dagmar Leontyne Ishaan Marisol Anneliese Gwendolyn Bartholomäus Évariste Zoraida".split()
+FAMILIES = "Mensah Hagedorn Takahashi Sokolova Moyo MacAskill Okonkwo Kowalczyk Gallagher Lindqvist Etxeberria Vogelsang Thibodeaux Raghunathan Cienfuegos Obermüller Lloyd-Jones Apfelbaum Quatrefages Villaseñor".split()
+NEUTRAL = [
+    "Contact {} about it.", "In the end {} wrote the second part.", "We met {} in the library.", "The draft went to {} last week.", "Nothing was heard of {} after that.", "The letter mentions {} and two others.",
+    "Dann kam {} mit einem Brief.", "Im Sommer arbeitete {} an der Liste.", "On a vu {} au bureau.", "Plus tard, {} prit la parole.", "Ayer vino {} con la carta.", "La lista de {} es larga.",
+]
+NO_NAMES = [
+    "The Harvest Moon Society printed the list.", "He read it in the Northern Star Gazette of that week.", "From Mount Kenning to Port Alden the road is long.", "Das Neue Wörterbuch liegt im Regal.", "La Rue Haute est longue.", "Die Lange Nacht war kalt und lang.",
+    "we saw the harvest and the moon", "a northern star", "der neue Weg", "long roads", "kalte Nacht, lange Nacht", "the rue is haute",
+]
+
+
+def test_names_from_outside_in_neutral_sentences(spark):
+    # every name once, so that nothing is learned of it but that its words are no ordinary ones
+    names = [f"{g} {f}" for i, g in enumerate(OUTSIDE) for f in (FAMILIES[i], FAMILIES[(i * 7 + 3) % len(FAMILIES)])]
+    texts = [NEUTRAL[i % len(NEUTRAL)].format(n) for i, n in enumerate(names)] + NO_NAMES
+    assert not {w.casefold() for n in names for w in n.split()} & P._given
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, texts[r.doc_id][r.start_pos - 1 : r.end_pos]) for r in P.spans(df).filter("kind = 'name'").collect()}
+    want = set(enumerate(names))
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_given_names_written_with_articles_stay_given_names(spark):
+    texts = [f"according to Ngozi {f} the sense is old" for f in FAMILIES[:4]] + ["The Ngozi hypothesis", "A barge named Ngozi", "write to ngozi.moyo@mail.example"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    learned = P.learn(df)
+    assert "ngozi" in learned.given and "ngozi" not in learned.ordinary
+
+
+def test_last_words_of_works_and_firms_are_learned(spark):
+    texts = [f"found in {w} Yearbook again" for w in "Brindle Castor Dunmore Elswick Fenwick Garrow Hexham".split()] + ["said Ana Dunmore of it"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert "yearbook" in P.learn(df).heads
+    assert [(r.doc_id, r.kind) for r in P.spans(df).collect()] == [(7, "name")]
+
+
+def test_checksums_decide_on_bare_numbers():
+    kinds = lambda t: [s.kind for s in P.find(t)]
+    assert kinds("paid with card 4111 1111 1111 1111 today") == ["card"] and kinds("paid with card 4111 1111 1111 1112 today") == []
+    assert kinds("to DE89 3704 0044 0532 0130 00 please") == ["iban"] and kinds("to DE88 3704 0044 0532 0130 00 please") == []
+    assert P.valid_iban("GB82WEST12345698765432") and not P.valid_iban("GB82WEST12345698765433")
+    assert P.redact("card 4111111111111111.") == "card [CARD]."
+
+
+def test_texts_without_any_sign_stay_as_they_are(spark):
+    import re
+
+    texts = [t.replace("⟦", "").replace("⟧", "") for t, _ in CASES]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~F.col("t").rlike(P.ANY)).collect() == [] and re.search("@", P.ANY)
