@@ -1,9 +1,16 @@
 """Markup residue in text documents: which texts hold HTML, Markdown, wiki or LaTeX markup, and their clean text.
 
-Texts are cut into flat blocks (lines). Each block is described by its word count, its link density, its counts of
-signs by markup family, and the word count, link density and signs of both neighbours. A decision tree trained on the
-small labelled table below classifies the blocks; it is turned into one column expression, so that texts are judged in
-the JVM, without a shuffle and without Python. A text holds markup if any of its blocks does.
+Texts are cut into flat blocks (lines). Each block is described by its word count, its link density (the share of its
+characters in links and bracketed words), its counts of signs by markup family, the share of its characters in signs
+that may mark nothing up, and by the word count, link density and signs of both neighbours. A decision tree trained on
+the small labelled table below (at most 800 lines) classifies the blocks; it is turned into one column expression, so
+that texts are judged in the JVM, without a shuffle and without Python. A text holds markup if any of its blocks does.
+
+Signs of one meaning only (tags, character references, emphasis in pairs, commands) are told by their count. Others
+depend on what stands beside them, and this is what words, links and neighbours are for: a line of dashes or equal
+signs underlines a heading only if the line before it has a few words, and separates plain text else; dashes, bars and
+bracketed words are lists, tables and links only if their neighbours are alike; "#" and ">" begin headings and
+quotations of several words, and stand before numbers else.
 
 Texts with markup are converted: headings become "# " lines, lists "- " and "1. " lines, code fenced blocks or
 `code`, formulas $formula$; links give their text. Everything else of the markup goes, the words stay.
@@ -26,31 +33,45 @@ from pyspark.sql import functions as F
 
 TAG = r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*|\s[^<]*?\"[^\"]*\"[^<]*)?/?>"
 ATTRIBUTE = r"\s[A-Za-z-]+=(?:\"[^\"]*\"|'[^']*')\s*/?>"
-#: Patterns by feature, counted in each block.
+#: Signs of one meaning, counted in each block.
 SIGNS = {
     "html": rf"{TAG}|<!--|-->|</?[A-Za-z][A-Za-z0-9]*\z|<[A-Za-z][A-Za-z0-9]*\s[A-Za-z-]+=[^<>]*\z|{ATTRIBUTE}",
     "reference": r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});",
-    "emphasis": r"\*\*[^*]+\*\*|(?<![\p{L}\p{N}_])__[^_]+__(?![\p{L}\p{N}_])|~~[^~]+~~|`[^`]+`|(?<![\p{L}\p{N}*(])\*[^\s*][^*(]*(?<![\s-])\*(?![\p{L}\p{N}*)])",
-    "line_start": r"^(?:#{1,6}\s|>\s|[*+]\s|[:;]\s|\|)|^-\s.*[*_`~\[]|^\s*(?:```|~~~)|^\s*(?:={3,}|-{3,})\s*$",
+    "emphasis": r"\*\*[^*]+\*\*|(?<![\p{L}\p{N}_])__(?:[^_]|(?<=\w)_(?=\w))+__(?![\p{L}\p{N}_])|~~[^~]+~~|`[^`]+`|(?<![\p{L}\p{N}*(])\*[^\s*][^*(]*(?<![\s-])\*(?![\p{L}\p{N}*)])",
+    "fence": r"^\s*(?:```|~~~)",
+    "bullet": r"^[*+]\s|^-\s.*[*_`~\[]",
     "md_link": r"!?\[[^\[\]]+\]\([^()\s]*\)|^\s*\[[^\[\]]+\]:\s\S",
-    "wiki": r"''[^']+''|\[\[[^\[\]]+\]\]|\{\{[^{}]+\}\}|^=+[^=]+=+\s*$|\{\||\|\}",
-    "latex": r"\\[A-Za-z]+|\\[\\()\[\]%&$#_{}]|\$[^\s$0-9][^$]*\$|\$[^$]*[\\^_{][^$]*\$|\$\$",
+    "wiki": r"''[^']+''|\[\[[^\[\]]+\]\]|\{\{[^{}]+\}\}|^=+[^=]+=+\s*$|\{\||\|\}|^\|",
+    "latex": r"\\[A-Za-z]+|\\[\\()\[\]%&$#_{}]|\$[^\s$0-9](?:[^$]*[^\s$])?\$|\$[^$]*[\\^_{][^$]*\$|\$\$",
 }
-#: What looks like markup but may mark nothing up.
+#: Forms of a line that mark something up or not, as their surroundings tell.
+FORMS = {
+    "dash": r"^-\s",
+    "rule": r"^\s*(?:={3,}|-{3,})\s*$",
+    "bar": r"\s\|\s",
+    "heading": r"^#{1,6}\s",
+    "quote": r"^>\s",
+    "term": r"^[:;]\s",
+}
+#: What looks like markup but may mark nothing up, as a share of the characters.
 WEAK = {
     "angle": r"[<>]",
     "brace": r"[{}\[\]]",
     "star": r"[*_]",
     "equals": r"[=^|~]",
     "dollar": r"[$#&\\]",
+    "digit": r"\d",
+    "path": r"\b[A-Za-z]:\\|\\\\\w",
 }
 #: No feature but word counts can be above zero in a text without any of these.
 ANY_SIGN = r"[<>&*_~`#|=^\[\]{}\\$]|''|(?:\A|\n)\s{0,3}[:;+-]|\s[A-Za-z-]+=[\"']"
-LINK = r"<[aA]\s[^>]*>[^<]*</[aA]>|!?\[[^\[\]]+\]\([^()]*\)|\[\[[^\[\]]*\]\]|\\hyperref\[[^\]]*\]\{[^}]*\}|\\(?:href|ref|url)\{[^}]*\}"
-OWN = ("words", "link", *SIGNS, *WEAK)
-FEATURES = [*OWN, *(f"{side}_{f}" for side in ("before", "after") for f in ("words", "link", "marked"))]
+LINK = r"<[aA]\s[^>]*>[^<]*</[aA]>|!?\[[^\[\]]+\]\([^()]*\)|\[\[[^\[\]]*\]\]|\[[^\[\]]+\]|\\hyperref\[[^\]]*\]\{[^}]*\}|\\(?:href|ref|url)\{[^}]*\}"
+OWN = ("words", "link", *SIGNS, *FORMS, *WEAK)
+NEAR = ("words", "link", "marked", *FORMS)
+FEATURES = [*OWN, *(f"{side}_{f}" for side in ("before", "after") for f in NEAR)]
 
-#: The small labelled table: texts of one or more lines; before each line, M marks markup and P plain text.
+#: The small labelled table: texts of one or more lines; before each line, M marks markup and P plain text; small
+#: letters continue the text before.
 LABELLED = r"""
 M|<p>One <b>two</b> three four</p>
 M|a word in <i>italics</i> and more
@@ -158,6 +179,144 @@ M|\emph{bword://word}
 M|''bword://word''
 M|[[bword://word]]
 M|**bword://word**
+M|- one two three four
+m|- five six seven
+m|- eight nine ten
+M|- one two
+m|- three four
+P|one two three
+m|- four five six
+m|- seven eight
+P|- one two three four
+P|- five six
+P|one two three four five six seven eight
+p|- nine ten eleven twelve
+P|- one two
+p|three four five six seven
+P|one two
+p|- three
+p|four five
+M|one two
+m|-----
+M|one two three
+m|------------
+p|four five six seven eight nine ten
+M|one two three four five
+m|========
+p|six seven
+M|one
+m|---
+P|one
+p|
+p|two three
+P|one two
+p|
+p|three
+P|one two three
+p|
+P|one
+p|—
+p|two
+P|one two
+p|...
+p|three
+P|one two
+p|
+p|
+p|three four
+P|one two three four five
+p|
+p|six
+M|> one
+M|# one
+P|-----
+P|----------
+p|one two three
+P|
+p|-----
+p|one two three four
+P|======
+P|
+p|=========
+p|one two
+P|one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen
+p|-----
+p|one two three
+P|one two three four five six seven eight nine ten eleven twelve thirteen fourteen
+p|==========
+P|one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen
+p|------
+M|one | two | three
+m|four | five | six
+M|one | two
+m|--- | ---
+m|three | four
+M|one two | three
+m|four | five six
+m|seven | eight
+P|one | two
+P|one two | three four | five
+P|one | two
+p|three four five six
+P|one two three
+p|four | five
+M|[one]
+m|[two]
+m|[three]
+M|[one two]
+m|[three four]
+M|[one]
+m|[two three]
+m|[four]
+m|[five six]
+P|[one]
+P| [sic]
+P|[sic]
+P|[one two]
+P|[one two three]
+P|[x^2 + y]
+P|one [two]
+P|[one] two
+M|[bword://word](x)
+M|[bword://one](bword://one)
+M|[one](bword://two) three
+M|[one two](three)
+P|[one]
+p|two three four five six
+P|one two [three] four
+P|[one] two three four five
+P|one two three four five
+p|[six]
+P|one [two] three
+p|four [five] six
+M|# one two three
+M|## one two
+M|# one
+p|two three four five six
+M|### one
+p|two three
+P|# 12
+P|# 7
+P|one two three
+p|# 3
+M|> one two three four
+M|> one two
+m|> three four
+P|> 1
+P|> 12
+P|one two three four
+p|> 5
+M|: one two three four
+M|; one
+m|: two three
+M|; one two
+m|: three four five
+P|C:\lists\old
+P|see D:\index\new for it
+P|E:\one
+P|from C:\texts\two three
+P|of $HOME and $PATH in it
+P|$ONE, $TWO and $THREE
 P|one two three four five six
 P|a word of many words, said of a thing that one must do
 P|the thing kept beside another
@@ -241,8 +400,9 @@ def _described(block: Column) -> Column:
     """A struct of a block's own features."""
     words = F.regexp_count(block, F.lit(r"[\p{L}\p{M}\p{N}]+"))
     link = 1 - F.length(F.regexp_replace(block, LINK, "")) / F.greatest(F.length(block), F.lit(1))
-    counts = [F.regexp_count(block, F.lit(p)).cast("double").alias(k) for k, p in (SIGNS | WEAK).items()]
-    return F.struct(words.cast("double").alias("words"), link.alias("link"), *counts)
+    counts = [F.regexp_count(block, F.lit(p)).cast("double").alias(k) for k, p in (SIGNS | FORMS).items()]
+    shares = [(F.regexp_count(block, F.lit(p)) / F.greatest(F.length(block), F.lit(1))).alias(k) for k, p in WEAK.items()]
+    return F.struct(words.cast("double").alias("words"), link.alias("link"), *counts, *shares)
 
 
 def _in_context(described: Column) -> Column:
@@ -252,7 +412,7 @@ def _in_context(described: Column) -> Column:
     def one(s: Column, i: Column) -> Column:
         near = {"before": F.when(i > 0, F.get(described, i - 1)), "after": F.get(described, i + 1)}
         own = [s[k].alias(k) for k in OWN]
-        sides = [F.coalesce(v, F.lit(0.0)).alias(f"{side}_{f}") for side, n in near.items() for f, v in (("words", n["words"]), ("link", n["link"]), ("marked", marked(n)))]
+        sides = [F.coalesce(marked(n) if f == "marked" else n[f], F.lit(0.0)).alias(f"{side}_{f}") for side, n in near.items() for f in NEAR]
         return F.struct(*own, *sides)
 
     return F.transform(described, one)
@@ -278,13 +438,16 @@ def _tree(x: np.ndarray, y: np.ndarray, depth: int, least: int) -> tuple:
 
 
 def labelled_texts() -> list[tuple[str, list[int]]]:
-    """The labelled table: every line is a text; fenced code and underlined headings go with their lines."""
+    """The labelled table: texts with the labels of their lines. Every line is a text unless its label is in small letters; fenced code and underlined headings go with their lines."""
     out: list[tuple[str, list[int]]] = []
     pending: tuple[list[str], list[int]] | None = None
     for row in LABELLED.strip("\n").split("\n"):
-        if row[:2] not in ("M|", "P|"):
+        if row[:2] not in ("M|", "P|", "m|", "p|"):
+            continue
+        label, text = int(row[0] in "Mm"), row[2:]
+        if row[0].islower():
+            out[-1] = (f"{out[-1][0]}\n{text}", [*out[-1][1], label])
             continue
-        label, text = int(row[0] == "M"), row[2:]
         if pending:
             pending[0].append(text)
             pending[1].append(label)
@@ -297,21 +460,30 @@ def labelled_texts() -> list[tuple[str, list[int]]]:
             out[-1] = (f"{out[-1][0]}\n{text}", [*out[-1][1], label])
         else:
             out.append((text, [label]))
-    return out
+    return out + _put_together(out)
+
+
+def _put_together(texts: list[tuple[str, list[int]]]) -> list[tuple[str, list[int]]]:
+    """Lines of the table that mean the same anywhere, plain ones by threes and marked ones between plain ones: what stands beside them is no sign of anything."""
+    free = [(t, y[0]) for t, y in texts if len(y) == 1 and t and not any(re.search(p.replace(r"\z", r"\Z"), t) for p in (*FORMS.values(), SIGNS["fence"], r"^\[[^\[\]]+\]\s*$"))]
+    plain = [t for t, y in free if not y]
+    more = [("\n".join(plain[i : i + 3]), [0, 0, 0]) for i in range(0, len(plain) - 2, 2)]
+    marked = [t for t, y in free if y]
+    return more + [(f"{plain[i % len(plain)]}\n{t}\n{plain[(i * 7 + 3) % len(plain)]}", [0, 1, 0]) for i, t in enumerate(marked)]
 
 
 def _always_plain(node: tuple) -> bool:
     """Whether a tree calls every block plain that has no sign in itself nor beside it."""
     if len(node) == 1:
         return node[0] < 0.5
-    free = FEATURES[node[0]].split("_", 1)[-1] == "words" or FEATURES[node[0]] == "words"
+    free = FEATURES[node[0]] in ("words", "before_words", "after_words", "digit")
     return (_always_plain(node[2]) and _always_plain(node[3])) if free else _always_plain(node[2] if node[1] >= 0 else node[3])
 
 
 _trees: dict[tuple[int, int], tuple] = {}
 
 
-def trained_tree(spark: SparkSession, depth: int = 12, least: int = 1) -> tuple:
+def trained_tree(spark: SparkSession, depth: int = 24, least: int = 1) -> tuple:
     """The decision tree, from the features of the labelled table as Spark computes them; kept for the process."""
     if (depth, least) not in _trees:
         rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(labelled_texts())], "i int, text string")
@@ -379,10 +551,13 @@ def clean(text: str | None) -> str | None:
     if re.search(r"&lt;/?[A-Za-z]", text) and not _tag.search(text):
         text = html.unescape(text)
     kept: list[str] = []
+    # pieces are kept behind a sign that occurs nowhere in the text, nor in what its references stand for
+    own = set(text) | set(html.unescape(text)) | set(html.unescape(html.unescape(text)))
+    mark = next(c for c in map(chr, (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE))) if c not in own)
 
     def keep(value: str) -> str:
         kept.append(value)
-        return f"\ue000{len(kept) - 1}\ue001"
+        return f"{mark}{len(kept) - 1}{mark}"
 
     unescape = lambda s: html.unescape(_tag.sub("", s))
     fence = lambda m: "\n" + keep("```\n" + unescape(m[1]).strip("\n") + "\n```") + "\n"
@@ -430,7 +605,7 @@ def clean(text: str | None) -> str | None:
     text = re.sub(r"^[:;][ \t]", "", text, flags=re.M)
     text = re.sub(r"^\s*\[([^\[\]]+)\]:\s\S+\s*$", r"\1", text, flags=re.M)
     text = "\n".join(_inline(line) for line in text.split("\n"))
-    text = re.sub(r"\ue000(\d+)\ue001", lambda m: kept[int(m[1])], text)
+    text = re.sub(f"{mark}(\\d+){mark}", lambda m: kept[int(m[1])], text)
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+$", "", text, flags=re.M)).strip()
 
 

@@ -127,21 +127,18 @@ SELECT DISTINCT field, row_key FROM (
    OR regexp_matches(v, '\p{Latin}')::INT + regexp_matches(v, '\p{Greek}')::INT + regexp_matches(v, '\p{Cyrillic}')::INT + regexp_matches(v, '[א-ת]')::INT > 1
 """
 
-# signs of markup in one line, by family: HTML, character references, emphasis, line starts, links, wiki, LaTeX
-_SIGNS = (
-    r"</?[A-Za-z][A-Za-z0-9]*(\s[^<>]*|\s[^<]*?\"[^\"]*\"[^<]*)?/?>|<!--|-->|</?[A-Za-z][A-Za-z0-9]*$|<[A-Za-z][A-Za-z0-9]*\s[A-Za-z-]+=[^<>]*$|\s[A-Za-z-]+=(\"[^\"]*\"|''[^'']*'')\s*/?>",
-    r"&([A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});",
-    r"\*\*[^*]+\*\*|(^|[^\p{L}\p{N}_])__[^_]+__($|[^\p{L}\p{N}_])|~~[^~]+~~|`[^`]+`|(^|[^\p{L}\p{N}*(])\*[^\s*]([^*(]*[^\s*(-])?\*($|[^\p{L}\p{N}*)])",
-    r"^(#{1,6}\s|>\s|[*+]\s|[:;]\s|\|)|^-\s.*[*_`~\[]|^\s*(```|~~~)|^\s*(={3,}|-{3,})\s*$",
-    r"!?\[[^\[\]]+\]\([^()\s]*\)|^\s*\[[^\[\]]+\]:\s\S",
-    r"''''[^'']+''''|\[\[[^\[\]]+\]\]|\{\{[^{}]+\}\}|^=+[^=]+=+\s*$|\{\||\|\}",
-    r"\\[A-Za-z]+|\\[\\()\[\]%&$#_{}]|\$[^\s$0-9][^$]*\$|\$[^$]*[\\^_{][^$]*\$|\$\$",
-)
+# What the statement names, looked for in whole texts: tags and comments, whole or cut, and character references; of
+# Markdown emphasis, code, headings, quotations, lists, links; of wikis quotes, links, templates, headings, lists, tables;
+# of LaTeX commands and formulas.
+_HTML = r"</?[A-Za-z]|<!--|-->|=(\"[^\"<>]*\"|''[^''<>]*'')\s*/?>|&(#\d+|#[xX][0-9A-Fa-f]+|[A-Za-z]\w+);"
+_MARKDOWN = r"\*\*|~~|`|\b__|__\b|(^|[^\p{L}\p{N}*(])\*[^\s*]([^*(\n]*[^\s*(\n-])?\*($|[^\p{L}\p{N}*)])|^#+ |^> |^[*+] |^- .*\[|\]\([^()\s]*\)|^\s*\[[^\]]+\]: \S|[^\s=].*\n={3,}\s*$"
+_WIKI = r"''''|\[\[|\]\]|\{\{|\}\}|^=+[^=\n]+=+\s*$|^[:;] |\{\||\|\}|^\|"
+_LATEX = r"\\[A-Za-z(\[\])&%$#_{}]|\$\$|\$[^$]*[\\^_{][^$]*\$"
 _MARKED = f"""
 SELECT DISTINCT field, row_key FROM (
   SELECT 'definition' AS field, def_id AS row_key, unnest(entries) AS v FROM definitions
   UNION ALL SELECT 'run_text', run_id, text FROM runs UNION ALL SELECT 'run_href', run_id, href FROM runs
-) WHERE len(list_filter(string_split_regex(v, '\\r?\\n'), lambda x: {" OR ".join(f"regexp_matches(x, '{p}')" for p in _SIGNS)})) > 0
+) WHERE regexp_matches(replace(v, chr(13), ''), '(?m)({_HTML}|{_MARKDOWN}|{_WIKI}|{_LATEX})')
 """
 
 

@@ -33,7 +33,7 @@ def test_training_table_is_learned(spark):
     texts = M.labelled_texts()
     got = judged(spark, [t for t, _ in texts])
     assert [t for i, (t, y) in enumerate(texts) if got[i] != any(y)] == []
-    assert 100 < len(texts) < 200
+    assert 100 < len(texts) < 500
 
 
 def test_shortcut_changes_nothing(spark):
@@ -81,3 +81,45 @@ def test_cleaned_column_keeps_plain_texts_and_words(spark, data):
 def test_empty_table_and_long_text(spark):
     assert judged(spark, []) == {}
     assert judged(spark, ["word " * 200_000, "a\n" * 3000 + "<b>x</b>"]) == {0: False, 1: True}
+
+
+#: Texts whose signs mark something up or not as their surroundings tell; none of them is in the labelled table.
+IN_CONTEXT = {
+    "- apples and pears\n- plums\n- all kinds of berries": True, "- apples and pears": False, "a word\n- said she -\nand more of it": False, "He came in late that day.\n- where from, nobody knew": False,
+    "Old forms\n---------": True, "Old forms of it\n======": True, "this is a long paragraph of many words that goes on and on and does not end here\n------": False, "-------": False, "\n-----\nmore words": False,
+    "this is another long paragraph, which has far more words than any heading would ever have, so it is none\n========\nnext": False,
+    "case | form\nnominative | rex": True, "singular | plural | dual\n--- | --- | ---\na | b | c": True, "here | there": False, "either | or\nnext line has none": False,
+    "[rex]\n[regis]\n[regi]": True, "[rex]": False, "he wrote [sic] of it": False, "[sic] he wrote": False, "[regina bona]\n[rex malus]": True,
+    "# Old forms of it": True, "# 45": False, "## The second part": True, "> he said it was so": True, "> 7": False, "F:\\data\\words": False, "in G:\\old\\texts for all": False, "of $LANG and $TERM here": False,
+}
+
+
+def test_surroundings_decide(spark):
+    import re
+
+    got = judged(spark, list(IN_CONTEXT))
+    right = [got[i] == y for i, y in enumerate(IN_CONTEXT.values())]
+    assert sum(right) >= 0.9 * len(right), [t for t, ok in zip(IN_CONTEXT, right) if not ok]
+    # any sign at all, in any line: what a text would be without its surroundings
+    signs = [re.compile(p.replace(r"\z", r"\Z").replace(r"\p{L}\p{N}", r"\w"), re.M) for p in (*M.SIGNS.values(), *M.FORMS.values())]
+    plain_or = [any(p.search(t) for p in signs) == y for t, y in IN_CONTEXT.items()]
+    assert sum(right) > sum(plain_or) + 5
+    assert not set(IN_CONTEXT) & {t for t, _ in M.labelled_texts()}
+
+
+def test_tree_uses_words_links_and_neighbours(spark):
+    used = set()
+
+    def walk(node):
+        if len(node) > 1:
+            used.add(M.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(M.trained_tree(spark))
+    assert "words" in used and "link" in used and used & {"before_words", "after_words"} and used & {"before_link", "after_link", "before_bracket", "after_bracket"} and used & {"before_dash", "after_dash"}
+    assert sum(len(y) for _, y in M.labelled_texts()) <= 800
+
+
+def test_signs_of_the_converter_in_the_text():
+    assert M.clean("<p>a \ue0005\ue001 `code` \ue000 &#xE001; b</p>") == "a \ue0005\ue001 `code` \ue000 \ue001 b"
