@@ -1,18 +1,26 @@
 """Garbled text from wrong character encoding: find the affected records and restore the original where possible.
 
-Learning: words of all records are grouped by what is left of them without non-ASCII characters. In each group the
-simplest frequent word stands for the clean spelling, and every other word is joined with that one twin only (never
-all pairs of a group). The ASCII characters align both words; what stands between them are pairs of a garbled run and
-its clean original. A pair that some chain of decoding mistakes explains (bytes of UTF-8 read in another encoding, once
-or twice) is evidence for that chain; chains with enough distinct evidence are learned. What is fetched is one row per
-known chain.
-
-Applying: each learned chain gives a mapping from garbled sequence to character. In all records, runs of non-ASCII
-characters that a learned chain turns back in full, or that hold mapped sequences with signs no word is written with,
-are restored, longest first. The replacement character U+FFFD marks a record too; words with lost characters are
-filled in from their twin where one fits what is left (`regained`), and stay as they are elsewhere.
-
-Defined cases: null and empty texts are no cases; without evidence no chain is learned and only U+FFFD counts; rows
+Learning: words, and whole strings, are grouped by what is left of them without non-ASCII characters. In each group the
+simplest frequent one stands for the clean spelling, and every other is joined with that one twin only (never all
+pairs of a group). The ASCII characters align both; what stands between them are pairs of a garbled run and its clean
+original. Whole strings align words that have no ASCII character of their own. From the runs two things are learned:
+
+* a mapping from garbled sequence to character, as the pairs show it, whatever the encodings were: runs are cut evenly
+  into as many pieces as there are characters, and a piece that stands for one character in `least` different pairs and
+  in four fifths of all its pairs is a mapping (`learned_units`);
+* which known encodings explain pairs (bytes of UTF-8 read in another encoding, once or twice). These extend the
+  mapping to characters that no pair shows.
+
+What is fetched is one row per mapping, of which there are at most as many as characters times encodings, and one per
+known encoding. The words of all texts are gathered in one pass and written once with their numbers.
+
+Applying: in all records, runs of non-ASCII characters that the mapping or a learned encoding turns back in full, or
+that hold mapped sequences with signs no word is written with, are restored, longest first. Single western letters
+that stand for another script (`legacy`) are turned back only in words without any ASCII letter. The replacement
+character U+FFFD marks a record too; words with lost characters are filled in from their twin where one fits what is
+left (`regained`), and stay as they are elsewhere.
+
+Defined cases: null and empty texts are no cases; without evidence nothing is learned and only U+FFFD counts; rows
 given twice are found twice by row and once by key; a lone letter such as a cited "Â" is no sequence and stays.
 """
 
@@ -20,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata as U
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +36,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import cut_lineage
+from lexloom.session import cut_lineage, discard
 
 LOST = "�"
 RUN = regex.compile(r"[^\x00-\x7F]+")
@@ -100,53 +109,93 @@ def explaining(garbled: str, clean: str) -> list[str]:
     return sorted({x for text, c in once.items() if len(text.encode("utf-8")) == len(garbled) for d in CODECS if misread(text, (d,)) == garbled for x in (c, d)})
 
 
-def twin_evidence(texts: DataFrame) -> DataFrame:
-    """garbled, clean: distinct pairs of runs aligned between words and their clean near-twin, from column `value`."""
-    words = (
-        texts.select(F.explode(F.split("value", r"[\s<>\"=]+")).alias("word"))
-        .filter(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains(LOST))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7F]+", ""))
-        .withColumn("odd", F.length(F.regexp_replace("word", r"[\x00-\x7F]+", "")))
-        .filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
-    )
-    # the twin: fewest non-ASCII characters, then most frequent, then first in order
-    twins = words.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t"), F.count("*").alias("c")).filter("c > 1")
-    pairs = words.join(twins.select("skeleton", F.col("t.word").alias("twin"), F.col("t.odd").alias("twin_odd")), "skeleton").filter("odd > twin_odd")
-    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
-    shape = lambda c: F.regexp_replace(F.col(c), r"[^\x00-\x7F]+", "\u0001")
+def words_of(texts: DataFrame) -> DataFrame:
+    """word, n: all words with non-ASCII characters of column `value`, written once."""
+    words = texts.filter(F.col("value").rlike(r"[^\x00-\x7F]")).select(F.explode(F.split("value", WORD_ENDS)).alias("word"))
+    return cut_lineage(words.filter(F.col("word").rlike(r"[^\x00-\x7F]")).groupBy("word").agg(F.count("*").alias("n")), "words")
+
+
+_runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+_shape = lambda c: F.regexp_replace(F.col(c), r"[^\x00-\x7F]+", "\u0001")
+_skeleton = lambda c: F.regexp_replace(F.col(c), r"[^\x00-\x7F]+", "")
+_odd = lambda c: F.length(F.regexp_replace(F.col(c), r"[\x00-\x7F]+", ""))
+
+
+def _aligned(pairs: DataFrame) -> DataFrame:
+    """garbled, clean: the runs of word and twin that stand at the same place, once each."""
     return (
-        pairs.filter(shape("word") == shape("twin"))
-        .select(F.explode(F.arrays_zip(runs("word").alias("garbled"), runs("twin").alias("clean"))).alias("p"))
+        pairs.filter(_shape("word") == _shape("twin"))
+        .select(F.explode(F.arrays_zip(_runs("word").alias("garbled"), _runs("twin").alias("clean"))).alias("p"))
         .select("p.garbled", "p.clean")
         .filter("garbled <> clean")
         .distinct()
     )
 
 
+def twin_evidence(words: DataFrame) -> DataFrame:
+    """garbled, clean: distinct pairs of runs aligned between words (word, n) and their clean near-twin."""
+    own = words.filter(~F.col("word").contains(LOST)).withColumns({"skeleton": _skeleton("word"), "odd": _odd("word")}).filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
+    # the twin: fewest non-ASCII characters, then most frequent, then first in order
+    twins = own.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t"), F.count("*").alias("c")).filter("c > 1")
+    pairs = own.join(twins.select("skeleton", F.col("t.word").alias("twin"), F.col("t.odd").alias("twin_odd")), "skeleton").filter("odd > twin_odd")
+    return _aligned(pairs)
+
+
+def record_evidence(texts: DataFrame) -> DataFrame:
+    """garbled, clean: as twin_evidence, of whole strings whose ASCII characters, ten letters or more, are the same.
+
+    Strings are told apart by hashes; only those whose remainder stands in several different strings are joined.
+    """
+    own = texts.select("value").filter(F.col("value").rlike(r"[^\x00-\x7F]") & ~F.col("value").contains(LOST)).withColumn("skeleton", _skeleton("value"))
+    own = own.filter(F.length(F.regexp_replace("skeleton", "[^A-Za-z]", "")) >= 10).select(F.col("value").alias("word"), F.xxhash64("skeleton").alias("key"), _odd("value").alias("odd"))
+    first = own.groupBy("key").agg(F.min(F.struct("odd", F.xxhash64("word"), "word")).alias("t"), F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("z")).filter("a <> z")
+    pairs = own.join(first.select("key", F.col("t.word").alias("twin")), "key").filter("word <> twin").dropDuplicates(["word"])
+    return _aligned(pairs.filter(_skeleton("word") == _skeleton("twin")))
+
+
+def units_of(garbled: str, clean: str) -> list[tuple[str, str]]:
+    """The pieces of a garbled run, one for each character of the clean one, if it can be cut evenly."""
+    k, rest = divmod(len(garbled), len(clean))
+    if rest or not k or U.normalize("NFKC", garbled) == U.normalize("NFKC", clean):
+        return []
+    return [(garbled[i * k : (i + 1) * k], c) for i, c in enumerate(clean)]
+
+
+def learned_units(pairs: DataFrame, least: int = 3, share: float = 0.8) -> dict[str, str]:
+    """garbled sequence -> character, from aligned runs (garbled, clean).
+
+    Single letters count only where they stand for a letter of another script; one accent for another is a spelling.
+    """
+
+    @F.pandas_udf("array<struct<g:string,c:string>>")
+    def cut(garbled: pd.Series, clean: pd.Series) -> pd.Series:
+        return pd.Series([[{"g": g, "c": c} for g, c in units_of(a, b) if g != c and (len(g) > 1 or (g < "\u02ff" < c and _one_script(c + c)))] for a, b in zip(garbled, clean)])
+
+    counts = pairs.withColumn("u", F.explode(cut("garbled", "clean"))).groupBy("u.g", "u.c").agg(F.count("*").alias("n"))
+    best = counts.groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("b")).filter((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all")))
+    return {r.g: r.c for r in best.select("g", F.col("b.c").alias("c")).collect()}
+
+
 def _in_order(evidence: DataFrame, least: int, order: list) -> list[str]:
     """The names with enough evidence, most first; one row per name is fetched."""
     rows = [(-r.n, order.index(r.name), r.name) for r in evidence.groupBy("name").agg(F.count("*").alias("n")).collect() if r.n >= least]
     return [name for _, _, name in sorted(rows)]
 
 
-def learn_encodings(texts: DataFrame, least: int = 3) -> list[str]:
-    """Encodings that UTF-8 was read in, with at least `least` distinct pairs of evidence over all texts."""
-
+def _explained(pairs: DataFrame, least: int) -> list[str]:
     @F.pandas_udf("array<string>")
     def explain(garbled: pd.Series, clean: pd.Series) -> pd.Series:
         return pd.Series([explaining(g, c) for g, c in zip(garbled, clean)])
 
-    return _in_order(twin_evidence(texts).select(F.explode(explain("garbled", "clean")).alias("name")), least, list(CODECS))
+    return _in_order(pairs.select(F.explode(explain("garbled", "clean")).alias("name")), least, list(CODECS))
 
 
-def learn_legacy(texts: DataFrame, vocabulary: DataFrame, least: int = 3) -> list[tuple[str, str]]:
-    """(read in, written in): legacy encodings taken for a western one.
+def learn_encodings(texts: DataFrame, least: int = 3) -> list[str]:
+    """Encodings that UTF-8 was read in, with at least `least` distinct pairs of evidence over all texts."""
+    return _explained(twin_evidence(words_of(texts)), least)
 
-    Such words have nothing left without their non-ASCII characters. Their twins are found by what they would have
-    been: each is read anew in every legacy encoding and joined with the words of `vocabulary` (column `value`).
-    """
+
+def _legacy(odd: DataFrame, seen: DataFrame, least: int) -> list[tuple[str, str]]:
     names = [">".join(c) for c in LEGACY]
 
     @F.pandas_udf("array<struct<name:string,word:string>>")
@@ -157,20 +206,33 @@ def learn_legacy(texts: DataFrame, vocabulary: DataFrame, least: int = 3) -> lis
             out.append([{"name": n, "word": x} for n, x in new if x != w and _one_script(x)])
         return pd.Series(out)
 
-    split = lambda df: df.select(F.explode(F.split("value", WORD_ENDS)).alias("word")).distinct()
-    odd = split(texts).filter(F.col("word").rlike(FOREIGN))
-    seen = split(vocabulary).filter(F.col("word").rlike(r"[^\x00-\x{02FF}]"))
+    odd = odd.select("word").filter(F.col("word").rlike(FOREIGN))
+    seen = seen.select("word").filter(F.col("word").rlike(r"[^\x00-\x{02FF}]"))
     return [tuple(n.split(">")) for n in _in_order(odd.select(F.explode(candidates("word")).alias("c")).select("c.*").join(seen, "word").select("name"), least, names)]
 
 
+def learn_legacy(texts: DataFrame, vocabulary: DataFrame, least: int = 3) -> list[tuple[str, str]]:
+    """(read in, written in): legacy encodings taken for a western one.
+
+    Such words have nothing left without their non-ASCII characters. Beside the twins of whole strings (learned_units),
+    twins are found by what they would have been: each is read anew in every legacy encoding and joined with the words
+    of `vocabulary` (column `value`).
+    """
+    return _legacy(words_of(texts), words_of(vocabulary), least)
+
+
 class Restorer:
     """Applies the mappings of the learned encodings; built once per worker."""
 
-    def __init__(self, encodings: list[str], legacy: list[tuple[str, str]]):
+    def __init__(self, encodings: list[str], legacy: list[tuple[str, str]], units: dict[str, str] | None = None):
         import ahocorasick
 
         self.encodings, self.legacy = encodings, legacy
-        mapping: dict[str, str] = {}
+        self.units = {g: c for g, c in (units or {}).items() if len(g) > 1}
+        self.letters = {g: c for g, c in (units or {}).items() if len(g) == 1}
+        self.longest = max(map(len, self.units), default=0)
+        # what the pairs show comes before what encodings would give
+        mapping = {g: c for g, c in self.units.items() if not g.isalpha()}
         for codec in encodings:
             for c in map(chr, REPERTOIRE):
                 seen = misread(c, (codec,))
@@ -183,8 +245,23 @@ class Restorer:
         self.automaton.make_automaton()
         self.any = bool(mapping)
 
+    def by_units(self, run: str) -> str | None:
+        """The run as learned sequences, longest first, if it consists of such and of characters that no sequence begins with."""
+        out, at, hit = [], 0, False
+        while at < len(run):
+            for k in range(min(self.longest, len(run) - at), 1, -1):
+                if to := self.units.get(run[at : at + k]):
+                    out.append(to)
+                    at, hit = at + k, True
+                    break
+            else:
+                return None
+        return "".join(out) if hit else None
+
     def once(self, run: str) -> str | None:
         if len(run) > 1:
+            if self.units and (new := self.by_units(run)):
+                return new
             for codec in self.encodings:
                 whole = reread(run, codec)
                 if not whole or whole == run:
@@ -215,6 +292,10 @@ class Restorer:
 
     def foreign(self, word: str) -> str | None:
         """A word all of accented western letters, as it was written in a legacy encoding."""
+        if self.letters and all(c in self.letters for c in word if ord(c) > 127):
+            new = "".join(self.letters.get(c, c) for c in word)
+            if new != word and _one_script(new):
+                return new
         for chain in self.legacy:
             new = RUN.sub(lambda m, c=chain: reread_legacy(m[0], c) or m[0], word)
             if new != word and _one_script(new):
@@ -240,18 +321,29 @@ class Restorer:
             return m[0] if new is None else new
 
         text = RUN.sub(one, text)
-        return (FOREIGN_WORD.sub(whole, text) if self.legacy else text), hit
+        return (FOREIGN_WORD.sub(whole, text) if self.legacy or self.letters else text), hit
 
 
-def restored(texts: DataFrame, encodings: list[str], legacy: list[tuple[str, str]] = ()) -> DataFrame:
+_restorers: dict[str, Restorer] = {}
+
+
+def _restorer(name: str, encodings: list[str], legacy: list[tuple[str, str]], units: dict[str, str] | None) -> Restorer:
+    if name not in _restorers:
+        _restorers.clear()
+        _restorers[name] = Restorer(encodings, legacy, units)
+    return _restorers[name]
+
+
+def restored(texts: DataFrame, encodings: list[str], legacy: list[tuple[str, str]] = (), units: dict[str, str] | None = None) -> DataFrame:
     """The rows of texts (with their other columns) that hold garbled text, with `original` restored where possible.
 
     Rows of ASCII only never leave the JVM.
     """
+    name = uuid.uuid4().hex
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema)
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = Restorer(encodings, legacy)
+        one = _restorer(name, encodings, legacy, units)
         for batch in batches:
             both = [one(v) for v in batch.value]
             yield batch.assign(original=[b[0] for b in both])[[b[1] for b in both]]
@@ -259,18 +351,10 @@ def restored(texts: DataFrame, encodings: list[str], legacy: list[tuple[str, str
     return texts.filter(F.col("value").rlike(r"[^\x00-\x7F]")).mapInPandas(restore, f"{fields}, original string")
 
 
-def twins_of(texts: DataFrame) -> DataFrame:
-    """skeleton, twin: the simplest, then most frequent, whole word of each skeleton, from column `value`."""
-    words = (
-        texts.select(F.explode(F.split("value", WORD_ENDS)).alias("word"))
-        .filter(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains(LOST))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .withColumn("odd", F.length(F.regexp_replace("word", r"[\x00-\x7F]+", "")))
-        .withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7F]+", ""))
-        .filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
-    )
-    return words.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t")).select("skeleton", F.col("t.word").alias("twin"))
+def twins_of(words: DataFrame) -> DataFrame:
+    """skeleton, twin: the simplest, then most frequent, whole word of each skeleton, from words (word, n)."""
+    own = words.filter(~F.col("word").contains(LOST)).withColumns({"odd": _odd("word"), "skeleton": _skeleton("word")}).filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
+    return own.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t")).select("skeleton", F.col("t.word").alias("twin"))
 
 
 def could_be(lost: str, clean: str, encodings: list[str]) -> bool:
@@ -279,15 +363,13 @@ def could_be(lost: str, clean: str, encodings: list[str]) -> bool:
     return lost.strip(LOST) == "" or any(pattern.fullmatch(misread(clean, (c,))) for c in encodings)
 
 
-def regained(found: DataFrame, texts: DataFrame, encodings: list[str]) -> DataFrame:
+def regained(found: DataFrame, texts: DataFrame, encodings: list[str], words: DataFrame | None = None) -> DataFrame:
     """found (field, row_key, part, value, original) with lost words filled in from their twin among whole words.
 
     A twin counts if it has the same ASCII characters around its other ones and, misread, shows what is left of the
     lost word; words without such a twin stay as they are.
     """
     key = ["field", "row_key", "part"]
-    shape = lambda c: F.regexp_replace(F.col(c), r"[^\x00-\x7F]+", "\u0001")
-    runs = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[^\x00-\x7F]+"), F.lit(0))
 
     @F.pandas_udf("boolean")
     def fits(lost: pd.Series, clean: pd.Series) -> pd.Series:
@@ -295,10 +377,10 @@ def regained(found: DataFrame, texts: DataFrame, encodings: list[str]) -> DataFr
 
     broken = found.filter(F.col("original").contains(LOST)).select(*key, F.explode(F.array_distinct(F.split("original", WORD_ENDS))).alias("word")).filter(F.col("word").contains(LOST))
     known = (
-        broken.select("word").distinct().withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7F]+", ""))
-        .join(twins_of(texts), "skeleton")
-        .filter(shape("word") == shape("twin"))
-        .filter(fits(runs("word"), runs("twin")))
+        broken.select("word").distinct().withColumn("skeleton", _skeleton("word"))
+        .join(twins_of(words_of(texts) if words is None else words), "skeleton")
+        .filter(_shape("word") == _shape("twin"))
+        .filter(fits(_runs("word"), _runs("twin")))
         .select("word", "twin")
     )
     # longer words first, so that none is replaced inside another
@@ -322,7 +404,10 @@ def garbled_fields(definitions: DataFrame, dsl_cards: DataFrame) -> DataFrame:
 def found(definitions: DataFrame, dsl_cards: DataFrame, least: int = 3, fill: bool = False) -> DataFrame:
     """field, row_key, part, value, original: all garbled strings with their restored form; with fill, lost words too."""
     texts = garbled_fields(definitions, dsl_cards)
-    vocabulary = definitions.select(F.explode("entries").alias("value")).unionByName(dsl_cards.select(F.col("card").alias("value")))
-    encodings = learn_encodings(texts, least)
-    rows = restored(texts, encodings, learn_legacy(texts, vocabulary, least))
-    return regained(cut_lineage(rows, "restored"), texts, encodings) if fill else rows
+    words = words_of(texts)
+    bodies = words_of(dsl_cards.select(F.col("card").alias("value")))
+    pairs = cut_lineage(twin_evidence(words).unionByName(record_evidence(texts)).distinct(), "pairs")
+    encodings, units = _explained(pairs, least), learned_units(pairs, least)
+    rows = restored(texts, encodings, _legacy(words, words.unionByName(bodies).select("word").distinct(), least), units)
+    discard(pairs, bodies)
+    return regained(cut_lineage(rows, "restored"), texts, encodings, words) if fill else rows
