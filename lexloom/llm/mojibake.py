@@ -6,8 +6,8 @@ pairs of a group). The ASCII characters align both; what stands between them are
 original. Whole strings align words that have no ASCII character of their own. From the runs two things are learned:
 
 * a mapping from garbled sequence to character, as the pairs show it, whatever the encodings were: runs are cut evenly
-  into as many pieces as there are characters, and a piece that stands for one character in `least` different pairs and
-  in four fifths of all its pairs is a mapping (`learned_units`);
+  into as many pieces as there are characters, and a piece that stands for one character in `least` different words and
+  in four fifths of all its words is a mapping (`learned_units`);
 * which known encodings explain pairs (bytes of UTF-8 read in another encoding, once or twice). These extend the
   mapping to characters that no pair shows.
 
@@ -122,18 +122,19 @@ _odd = lambda c: F.length(F.regexp_replace(F.col(c), r"[\x00-\x7F]+", ""))  # no
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
-    """garbled, clean: the runs of word and twin that stand at the same place, once each."""
+    """garbled, clean, n: the runs of word and twin that stand at the same place, and in how many words they do."""
     return (
         pairs.filter(_shape("word") == _shape("twin"))
         .select(F.explode(F.arrays_zip(_runs("word").alias("garbled"), _runs("twin").alias("clean"))).alias("p"))
         .select("p.garbled", "p.clean")
         .filter("garbled <> clean")
-        .distinct()
+        .groupBy("garbled", "clean")
+        .agg(F.count("*").alias("n"))
     )
 
 
 def twin_evidence(words: DataFrame) -> DataFrame:
-    """garbled, clean: distinct pairs of runs aligned between words (word, n) and their clean near-twin."""
+    """garbled, clean, n: pairs of runs aligned between words (word, n) and their clean near-twin."""
     own = words.filter(~F.col("word").contains(LOST)).withColumns({"skeleton": _skeleton("word"), "odd": _odd("word")}).filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
     # the twin: fewest non-ASCII characters, then most frequent, then first in order
     twins = own.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t"), F.count("*").alias("c")).filter("c > 1")
@@ -142,7 +143,7 @@ def twin_evidence(words: DataFrame) -> DataFrame:
 
 
 def record_evidence(texts: DataFrame) -> DataFrame:
-    """garbled, clean: as twin_evidence, of whole strings whose ASCII characters, ten letters or more, are the same.
+    """garbled, clean, n: as twin_evidence, of whole strings whose ASCII characters, ten letters or more, are the same.
 
     Strings are told apart by hashes; only those whose remainder stands in several different strings are joined.
     """
@@ -162,7 +163,7 @@ def units_of(garbled: str, clean: str) -> list[tuple[str, str]]:
 
 
 def learned_units(pairs: DataFrame, least: int = 3, share: float = 0.8) -> dict[str, str]:
-    """garbled sequence -> character, from aligned runs (garbled, clean).
+    """garbled sequence -> character, from aligned runs (garbled, clean, n).
 
     Single letters count only where they stand for a letter of another script; one accent for another is a spelling.
     """
@@ -171,7 +172,7 @@ def learned_units(pairs: DataFrame, least: int = 3, share: float = 0.8) -> dict[
     def cut(garbled: pd.Series, clean: pd.Series) -> pd.Series:
         return pd.Series([[{"g": g, "c": c} for g, c in units_of(a, b) if g != c and (len(g) > 1 or (g < "\u02ff" < c and _one_script(c + c)))] for a, b in zip(garbled, clean)])
 
-    counts = pairs.withColumn("u", F.explode(cut("garbled", "clean"))).groupBy("u.g", "u.c").agg(F.count("*").alias("n"))
+    counts = pairs.withColumn("u", F.explode(cut("garbled", "clean"))).groupBy("u.g", "u.c").agg(F.sum("n").alias("n"))
     best = counts.groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("b")).filter((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all")))
     return {r.g: r.c for r in best.select("g", F.col("b.c").alias("c")).collect()}
 
@@ -406,7 +407,7 @@ def found(definitions: DataFrame, dsl_cards: DataFrame, least: int = 3, fill: bo
     texts = garbled_fields(definitions, dsl_cards)
     words = words_of(texts)
     bodies = words_of(dsl_cards.select(F.col("card").alias("value")))
-    pairs = cut_lineage(twin_evidence(words).unionByName(record_evidence(texts)).distinct(), "pairs")
+    pairs = cut_lineage(twin_evidence(words).unionByName(record_evidence(texts)).groupBy("garbled", "clean").agg(F.sum("n").alias("n")), "pairs")
     encodings, units = _explained(pairs, least), learned_units(pairs, least)
     rows = restored(texts, encodings, _legacy(words, words.unionByName(bodies).select("word").distinct(), least), units)
     discard(pairs, bodies)

@@ -82,3 +82,44 @@ def test_lost_words_are_filled_in(spark, corpus):
     assert filled["gr�¼�en"] == "grüßen" and filled["pr�sent déjà"] == "présent déjà" and filled["coraz��n"] == "corazón"
     assert filled["zz�zz"] == "zz�zz" and filled["m�nager"] == "m�nager"
     assert J.could_be("�©", "é", ["cp1252"]) and not J.could_be("�©", "ü", ["cp1252"])
+
+
+def test_an_encoding_outside_the_list_is_learned_from_twins(spark):
+    rng = random.Random(2)
+    assert "cp737" not in J.CODECS
+    own = ["".join(rng.choice("bdfglmnprst") for _ in range(4)) + c + "".join(rng.choice("bdfglmnprst") for _ in range(3)) for c in "éèêüöñóç" for _ in range(5)]
+    clean = [" ".join(rng.sample(own, 6)) for _ in range(60)]
+    garbled = [J.misread(" ".join(rng.sample(own, 6)), ("cp737",)) for _ in range(40)]
+    df = texts(spark, [*clean, *garbled])
+    units = J.learned_units(J.twin_evidence(J.words_of(df)))
+    assert {units.get(J.misread(c, ("cp737",))) for c in "éèêüöñóç"} == set("éèêüöñóç")
+    got = {r.row_key: r.original for r in J.restored(df, [], [], units).collect()}
+    right = sum(set(got.get(len(clean) + i, "").split()) <= set(own) for i in range(len(garbled)) if len(clean) + i in got)
+    assert set(got) == set(range(len(clean), len(clean) + len(garbled))) and right >= 0.95 * len(garbled)
+    # and through the whole operator, without any known encoding having a part in it
+    defs = spark.createDataFrame([(i, [v]) for i, v in enumerate([*clean, *garbled])], "def_id bigint, entries array<string>")
+    cards = spark.createDataFrame([], "card_id bigint, card string")
+    assert {r.row_key for r in J.found(defs, cards).collect()} >= set(got)
+
+
+def test_words_without_ascii_are_learned_from_whole_strings(spark):
+    words = "словарь слово корень береза молоко дерево соловей молва народ дорога вера зерно переводчик весна лето осень село слон олень вереск колесо отец сено слива велосипед".split()
+    read = lambda w: w.encode("koi8_r").decode("cp1250", "replace")  # noqa: E731 - a pair that LEGACY doesn't have
+    words = [w for w in words if "�" not in read(w)]
+    line = lambda i, w: f"entry number {i} of this list gives {w} in the first place"
+    df = texts(spark, [line(i, w) for i, w in enumerate(words)] + [line(i, read(w)) for i, w in enumerate(words)] + ["été", "un œuf"])
+    units = J.learned_units(J.record_evidence(df))
+    assert len(units) > 5 and all(len(g) == 1 for g in units)
+    known = [i for i, w in enumerate(words) if all(c in units for c in read(w))]
+    got = {r.row_key: r.original for r in J.restored(df, [], [], units).collect()}
+    assert known and all(got[len(words) + i] == line(i, words[i]) for i in known) and set(got) == {len(words) + i for i in known}
+
+
+def test_spellings_are_no_mapping():
+    assert J.units_of("é", "è") == [("é", "è")] and J.units_of("Ã©", "é") == [("Ã©", "é")] and J.units_of("Î»Î¿", "λο") == [("Î»", "λ"), ("Î¿", "ο")]
+    assert J.units_of("é", "é") == [] and J.units_of("abc", "éè") == []
+
+
+def test_one_accent_for_another_is_not_learned(spark):
+    pairs = spark.createDataFrame([("é", "è", 9)], "garbled string, clean string, n long")
+    assert J.learned_units(pairs) == {}
