@@ -54,3 +54,38 @@ def test_empty_and_long(spark):
     check(spark, [(1, "a b")], [])
     item = " ".join(f"w{i}" for i in range(12))
     check(spark, [(1, "z " * 200_000 + item)], [(1, item)])
+
+
+def test_documents_are_read_once_whatever_the_number_of_items(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    items = [(i, text(40)) for i in range(60)]
+    docs = [(d, text(30) + " " + " ".join(items[d % 60][1].split()[5 : 5 + rng.randrange(8, 30)]) + " " + text(20)) for d in range(50)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    counted = counted.asNondeterministic()
+    size = sum(len(t) for _, t in items)
+    df = spark.createDataFrame(docs, DOCS).withColumn("text", counted("text"))
+    got = K.leaked(df, spark.createDataFrame(items, ITEMS), block_chars=size // 10).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items) and seen.value == len(docs)
+    small = K.leaked(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, small))
+
+
+def test_tables_miss_nothing_with_colliding_hashes():
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    items = [(i, text(30)) for i in range(20)]
+    doc = text(50) + " " + items[3][1] + " " + text(40)
+    want = None
+    for bits in (1, 4, 8, 16):
+        got = K.WordSearch(K.Tables.of([t for _, t in items], 12, bits), items).find(K.words_of(doc))
+        want = want or got
+        assert got == want and got[3] >= 30
