@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import sys
 import unicodedata as U
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -242,23 +243,63 @@ class Rewriter:
         return new, new != text or len(scripts) > 1
 
 
+#: Values of other signs than these can be cases; the others never go to Python.
+SPECIAL = r"[^\t\n\r\x20-\x7e]"
+
+
 def count_signs(values: DataFrame) -> DataFrame:
     """sign, n: code points and clusters of a base with its marks, of column `value`; combined before the shuffle."""
-    known = None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nonlocal known
-        known = known or {m for ms in classes().values() for m in ms if len(m) > 1}
+        known = _known_clusters()
         total: Counter[str] = Counter()
         for batch in batches:
             for v in batch.value:
                 total.update(v)
-                if not v.isascii():
-                    total.update(x for x in CLUSTER.findall(v) if x in known)
+                total.update(x for x in CLUSTER.findall(v) if x in known)
         # the types are given, as an empty partition has no values to tell them from
         yield pd.DataFrame({"sign": pd.Series(list(total), dtype=object), "n": pd.Series(list(total.values()), dtype="int64")})
 
-    return values.filter("value is not null").mapInPandas(count, "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n"))
+    own = values.select("value").filter("value is not null")
+    special = own.filter(F.col("value").rlike(SPECIAL)).mapInPandas(count, "sign string, n bigint")
+    plain = own.filter(~F.col("value").rlike(SPECIAL)).select(F.explode(F.split("value", "")).alias("sign")).filter("sign <> ''").groupBy("sign").agg(F.count("*").alias("n"))
+    return special.unionByName(plain).groupBy("sign").agg(F.sum("n").alias("n"))
+
+
+@functools.cache
+def _known_clusters() -> frozenset[str]:
+    return frozenset(m for ms in classes().values() for m in ms if len(m) > 1)
+
+
+_rewriters: dict[str, Rewriter] = {}
+
+
+def _rewriter(shared) -> Rewriter:
+    """The rewriter of a broadcast (name, counts), built once in each worker."""
+    name, counts = shared.value
+    if name not in _rewriters:
+        _rewriters.clear()
+        _rewriters[name] = Rewriter(counts)
+    return _rewriters[name]
+
+
+def _rewritten(values: DataFrame, some: DataFrame) -> DataFrame:
+    counts = {r.sign: r.n for r in count_signs(values.select("value")).collect()}
+    shared = values.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, counts))
+
+    @F.pandas_udf("usual string, is_case boolean")
+    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            if not (there := texts.notna()).any():
+                yield pd.DataFrame({"usual": texts, "is_case": False})
+                continue
+            one = _rewriter(shared)
+            both = [one(v) if ok else (None, False) for v, ok in zip(texts, there)]
+            yield pd.DataFrame(both, columns=["usual", "is_case"])
+
+    # plain values are replaced by null, which costs next to nothing
+    out = some.select("field", "row_key", "value").withColumn("r", rewrite(F.when(F.col("value").rlike(SPECIAL), F.col("value"))))
+    return out.select("field", "row_key", "value", F.coalesce("r.usual", "value").alias("usual"), F.coalesce("r.is_case", F.lit(False)).alias("is_case"))
 
 
 def consistent(values: DataFrame) -> DataFrame:
@@ -266,17 +307,12 @@ def consistent(values: DataFrame) -> DataFrame:
 
     What the driver fetches are counts of single signs: at most one row per code point and per known composition.
     """
-    spark = values.sparkSession
-    counts = {r.sign: r.n for r in count_signs(values.select("value")).collect()}
-    shared = spark.sparkContext.broadcast(counts)
+    return _rewritten(values, values)
 
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = Rewriter(shared.value)
-        for batch in batches:
-            both = [(None, False) if v is None else one(v) for v in batch.value]
-            yield batch.assign(usual=[b[0] for b in both], is_case=[b[1] for b in both])
 
-    return values.select("field", "row_key", "value").mapInPandas(rewrite, "field string, row_key bigint, value string, usual string, is_case boolean")
+def cases(values: DataFrame) -> DataFrame:
+    """The rows of consistent that are cases, with the same forms: counts are over all values, but plain ones are no case."""
+    return _rewritten(values, values.filter(F.col("value").rlike(SPECIAL))).filter("is_case").drop("is_case")
 
 
 def spellings(headwords: DataFrame, dictionaries: DataFrame, home_rows: DataFrame, guest_rows: DataFrame) -> DataFrame:

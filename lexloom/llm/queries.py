@@ -23,16 +23,16 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup_residue.cleaned(_fields(spark, d), "value").select("field", "row_key", "part", "clean_text")
 
 
-def _consistent(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.consistent(lookalikes.spellings(*(table(spark, d, t) for t in ("headwords", "dictionaries", "home_rows", "guest_rows"))))
+def _odd_spellings(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.cases(lookalikes.spellings(*(table(spark, d, t) for t in ("headwords", "dictionaries", "home_rows", "guest_rows"))))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _consistent(spark, d).filter("is_case").select("field", "row_key").distinct()
+    return _odd_spellings(spark, d).select("field", "row_key").distinct()
 
 
 def p3_rewritten(spark: SparkSession, d: str) -> DataFrame:
-    return _consistent(spark, d).filter("is_case").select("field", "row_key", "value", "usual")
+    return _odd_spellings(spark, d).select("field", "row_key", "value", "usual")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
