@@ -2,7 +2,7 @@
 
 Byte-identical raw rows are collapsed first, so that only distinct survivors are brought to canonical form; these are
 grouped again on the full canonical text, adding up the counts. Both groupings combine before their shuffle, so a
-group that holds a third of all rows costs one row per input partition; slots are never collected into a list. Members
+group that holds a third of all rows costs one row per input partition. Survivors are written once; slots are never collected into a list. Members
 get their group by joins whose other side has one row per key; a hot key's rows are then split by adaptive skew joins.
 
 Defined cases: a null word is no headword and belongs to no group; null dict is a dictionary of its own; words
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.casefold import casefold
+from lexloom.session import cut_lineage
 
 WORDS = r"[\p{L}\p{M}\p{N}]+"
 
@@ -46,7 +47,8 @@ def collapse(rows: DataFrame, partition: str = "dict", text: str = "word", key:
 
 def duplicate_pairs(rows: DataFrame, partition: str = "dict", text: str = "word", key: str = "slot") -> DataFrame:
     """(key_a, key_b): the smallest key of each group with each other key in it."""
-    alive = survivors(rows, partition, text, key)
+    # written once, as groups and their members both come from it
+    alive = cut_lineage(survivors(rows, partition, text, key), "survivors")
     groups = (
         alive.groupBy(F.col("part").alias("g_part"), F.col("canon").alias("g_canon"))
         .agg(F.min("first").alias("key_a"), F.sum("n").alias("copies"))
