@@ -32,21 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import lookalikes
-from lexloom.session import bounded, cut_lineage
+from lexloom.session import bounded, cut_lineage, discard
 
 LETTERS = re.compile(r"[^\W\d_]+")
 HOMOGRAPH = re.compile(r" \(\d+\)$")
+NO_KEY = re.compile(r"[^a-z0-9 ]")
 #: Grammar labels and connectives of dictionaries, no part of a meaning.
 GRAMMAR = frozenset("adj adv prep conj pron especially".split())
 #: Letters written for each other in one language's spelling.
 VARIANTS = str.maketrans("vkyj", "ucii")
-ROW = "row_id bigint, keys array<string>, exact array<string>, word_key string, tokens array<string>, label string, labels array<string>, dicts array<int>"
+ROW = "row_id bigint, exact array<string>, word_key string, tokens array<string>, label string, labels array<string>, dicts array<int>, lemma string, gloss string"
 #: Edits by which words misspelled throughout may differ.
 EDITS = 2
+#: The share of lemmas in whose glosses a word tells nothing.
+STOP_SHARE = 0.08
 LEVELS = ("word_level", "gloss_level", "label_level", "dict_level", "rival_level")
 #: The gloss level from which another pair of the same row is a rival.
 GOOD_GLOSS = 3
@@ -69,8 +72,15 @@ def skeletons(text: str | None) -> list[str]:
 
     Capitals may look alike where small letters don't, and the other way round, so there can be a second one.
     """
-    if not text:
-        return []
+    return list(_skeletons(text)) if text else []
+
+
+@functools.lru_cache(1 << 16)
+def _skeletons(text: str) -> tuple[str, ...]:
+    if text.isascii() and text.isprintable():
+        # every ASCII character stands for itself
+        key = " ".join(NO_KEY.sub("", HOMOGRAPH.sub("", text.strip()).lower()).translate(VARIANTS).split())
+        return (key,) if key else ()
     text = "".join(" " if lookalikes.other_space(c) else c for c in text if not lookalikes.unseen(c))
     text = U.normalize("NFKC", HOMOGRAPH.sub("", text.strip()))
     out = []
@@ -79,7 +89,7 @@ def skeletons(text: str | None) -> list[str]:
         key = " ".join(plain.casefold().translate(VARIANTS).split())
         if key and key not in out:
             out.append(key)
-    return out
+    return tuple(out)
 
 
 def label_key(label: str | None) -> str | None:
@@ -94,28 +104,25 @@ def words_of(gloss: str | None) -> list[str]:
     return [] if not gloss else [w for w in LETTERS.findall(U.normalize("NFKC", gloss).casefold()) if len(w) > 2 and w not in GRAMMAR]
 
 
-@functools.cache
-def _lemma():
-    @F.pandas_udf("string")
-    def lemma(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: next(iter(skeletons(w)), None))
-
-    return lemma
+def _common(rows: DataFrame, stop_share: float) -> set[str]:
+    """Of described rows, see common_words."""
+    rows = rows.filter("gloss is not null").select(F.coalesce("lemma", F.concat(F.lit("<"), "gloss")).alias("lemma"), "gloss").distinct()
+    rows = cut_lineage(rows, "glosses")
+    lemmas = rows.groupBy("lemma").agg(F.count("*").alias("glosses"))
+    n = lemmas.count()
+    words = rows.select("lemma", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("gloss"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    shares = words.groupBy("lemma", "w").agg(F.count("*").alias("n")).join(lemmas, "lemma").groupBy("w").agg(F.sum(F.col("n") / F.col("glosses")).alias("n"))
+    out = {r.w for r in shares.filter(F.round("n", 6) > stop_share * n).collect()}
+    discard(rows)
+    return out
 
 
-def common_words(*tables: DataFrame, stop_share: float = 0.08) -> set[str]:
+def common_words(*tables: DataFrame, stop_share: float = STOP_SHARE) -> set[str]:
     """Words in more than stop_share of all glosses if every lemma has the same weight, however many rows it has.
 
     There are at most (words of a gloss) / stop_share of them. Rows without any spelling are lemmas of their own.
     """
-    spelling = F.coalesce("word", F.get("members", F.lit(0))["spelling"]).alias("spelling")
-    rows = functools.reduce(DataFrame.unionByName, [t.select(spelling, "gloss") for t in tables]).filter("gloss is not null").distinct()
-    rows = cut_lineage(rows.select(F.coalesce(_lemma()("spelling"), F.concat(F.lit("<"), "gloss")).alias("lemma"), "gloss"), "glosses")
-    lemmas = rows.groupBy("lemma").agg(F.count("*").alias("glosses"))
-    n = lemmas.count()
-    words = rows.select("lemma", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("gloss"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    shares = words.groupBy("lemma", "w").agg(F.count("*").alias("n")).join(lemmas, "lemma").groupBy("w").agg(F.sum(F.col("n") / F.col("glosses")).alias("n"))
-    return {r.w for r in shares.filter(F.round("n", 6) > stop_share * n).collect()}
+    return _common(functools.reduce(DataFrame.unionByName, [described(t, None) for t in tables]), stop_share)
 
 
 def _cuts(length: int) -> list[int]:
@@ -144,31 +151,48 @@ def parts_met(word: str) -> set[str]:
     return out
 
 
-def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None, side: str | None = None) -> DataFrame:
-    """Rows with their keys; dict_labels gives the labels of a row's dictionaries where its numbers are known.
-
-    Two words meet if one has the parts of its side h and the other those of side g; without a side, a row has both.
-    """
+def described(rows: DataFrame, dict_labels: dict[int, str] | None) -> DataFrame:
+    """Rows with their skeletons, gloss words, labels and dictionaries; dict_labels gives the labels of a row's dictionaries where its numbers are known."""
 
-    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key_of = functools.lru_cache(1 << 12)(label_key)
         for b in batches:
             out = []
             for row_id, word, members, label, gloss in zip(b.row_id, b.word, b.members, b.label, b.gloss):
                 members = [m for m in (members if members is not None else ()) if m is not None]
                 own_keys = skeletons(word)
+                spelled = [k for s in dict.fromkeys(m["spelling"] for m in members) for k in skeletons(s)]
                 word_key = own_keys[0] if own_keys else ""
-                exact = {*own_keys, *(k for m in members for k in skeletons(m["spelling"]))}
-                tokens = sorted({w for w in words_of(gloss) if w not in stop})
-                keys = exact.copy()
-                if word_key:
-                    keys |= (own_parts(word_key) if side != "g" else set()) | (parts_met(word_key) if side != "h" else set())
+                tokens = sorted(set(words_of(gloss)))
                 dicts = sorted({int(m["dict"]) for m in members if m["dict"] is not None})
-                own = label_key(label)
-                known = {own, *(label_key(dict_labels.get(d)) for d in dicts)} if dict_labels else {own}
-                out.append((row_id, sorted(keys), sorted(exact), word_key, tokens, own, sorted(k for k in known if k), dicts))
-            yield pd.DataFrame(out, columns=["row_id", "keys", "exact", "word_key", "tokens", "label", "labels", "dicts"])
+                own = key_of(label)
+                known = {own, *(key_of(dict_labels.get(d)) for d in dicts)} if dict_labels else {own}
+                lemma = word_key or (spelled[0] if spelled else None)
+                out.append((row_id, sorted({*own_keys, *spelled}), word_key, tokens, own, sorted(k for k in known if k), dicts, lemma, gloss))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
+
+    return rows.select("row_id", "word", "members", "label", "gloss").mapInPandas(describe, ROW).withColumn("rid", F.monotonically_increasing_id())
+
+
+def without_common(rows: DataFrame, stop: set[str]) -> DataFrame:
+    """Described rows with their telling gloss words only."""
+    return rows.withColumn("tokens", F.array_except("tokens", F.array(*map(F.lit, sorted(stop))).cast("array<string>"))).drop("lemma", "gloss")
 
-    return rows.select("row_id", "word", "members", "label", "gloss").mapInPandas(prepare, ROW).withColumn("rid", F.monotonically_increasing_id())
+
+def near_keys(word: Column, side: str | None) -> Column:
+    """Keys by which words at most EDITS apart meet: one has the parts of side h and the other those of side g; without a side, a word has both."""
+
+    @F.pandas_udf("array<string>")
+    def keys(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: sorted((own_parts(w) if side != "g" else set()) | (parts_met(w) if side != "h" else set())) if w else [])
+
+    return keys(word)
+
+
+def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None, side: str | None = None) -> DataFrame:
+    """Rows described, without common words, and with all their keys, to look at; candidates derives the keys of distinct words itself."""
+    own = without_common(described(rows, dict_labels), stop)
+    return own.withColumn("keys", F.array_sort(F.array_union("exact", near_keys(F.col("word_key"), side))))
 
 
 def meeting(home: DataFrame, guest: DataFrame, hot_pairs: int) -> DataFrame:
@@ -196,8 +220,8 @@ def candidates(home: DataFrame, guest: DataFrame, hot_pairs: int = 1_000_000) ->
     """
 
     def words(df: DataFrame, p: str) -> DataFrame:
-        each = df.filter("word_key <> ''").select("word_key", F.array_except("keys", "exact").alias("near")).dropDuplicates(["word_key"])
-        return each.select(F.col("word_key").alias(f"{p}_id"), F.explode("near").alias("key"))
+        each = df.filter("word_key <> ''").select("word_key").distinct()
+        return each.select(F.col("word_key").alias(f"{p}_id"), F.explode(near_keys(F.col("word_key"), p)).alias("key"))
 
     near = meeting(words(home, "h"), words(guest, "g"), hot_pairs).filter((F.col("h_id") != F.col("g_id")) & (F.levenshtein("h_id", "g_id", EDITS) >= 0))
     near = cut_lineage(near.select(F.col("h_id").alias("h_word"), F.col("g_id").alias("g_word")).distinct(), "near")
@@ -208,7 +232,7 @@ def candidates(home: DataFrame, guest: DataFrame, hot_pairs: int = 1_000_000) ->
         return same.unionByName(df.select("rid", "word_key").join(pair, "word_key").select("key", F.col("rid").alias(f"{p}_id")))
 
     pairs = meeting(keyed(home, "h"), keyed(guest, "g"), hot_pairs).select(F.col("h_id").alias("h_rid"), F.col("g_id").alias("g_rid")).distinct()
-    side = lambda df, p: df.drop("keys").select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "keys"])
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in ("keys", "lemma", "gloss")])
     return pairs.join(side(home, "h"), "h_rid").join(side(guest, "g"), "g_rid")
 
 
@@ -273,15 +297,18 @@ def compared(pairs: DataFrame, spoken: DataFrame, dicts: dict[int, int]) -> Data
     part = held / F.greatest(F.least(F.size(mapped), F.size("h_dicts")), F.lit(1))
     shelf = F.when((F.size(mapped) == 0) | (F.size("h_dicts") == 0), -1).when(held == 0, 0).when(part < 0.75, 1).when(held == 1, 2).otherwise(3)
     word = F.when(F.col("h_word_key") == F.col("g_word_key"), 2).when(F.arrays_overlap("h_exact", "g_exact"), 1).otherwise(0)
+    # written once, as narrow rows, since rivals are counted among all of them
     levels = df.select(
         "h_rid", "g_rid", F.col("h_row_id").alias("row_a"), F.col("g_row_id").alias("row_b"),
         word.alias("word_level"), gloss.alias("gloss_level"), label.alias("label_level"), shelf.alias("dict_level"),
     )
+    levels = cut_lineage(levels, "levels")
     # does either row have a better partner by its gloss?
     good = (F.col("gloss_level") >= GOOD_GLOSS).cast("int")
+    better = levels.filter(good == 1)
     for rid in ("h_rid", "g_rid"):
-        levels = levels.join(levels.groupBy(rid).agg(F.sum(good).alias(f"{rid}_good")), rid)
-    rival = (F.greatest("h_rid_good", "g_rid_good") - good > 0).cast("int")
+        levels = levels.join(better.groupBy(rid).agg(F.count("*").alias(f"{rid}_good")), rid, "left")
+    rival = (F.greatest(F.coalesce("h_rid_good", F.lit(0)), F.coalesce("g_rid_good", F.lit(0))) - good > 0).cast("int")
     return levels.select("row_a", "row_b", "word_level", "gloss_level", "label_level", "dict_level", rival.alias("rival_level"))
 
 
@@ -324,13 +351,15 @@ def expectation_maximisation(patterns: pd.DataFrame, rounds: int = 300) -> pd.Da
 def link(home: DataFrame, guest: DataFrame, dictionaries: DataFrame | None = None, least: float = 0.5, hot_pairs: int = 1_000_000) -> DataFrame:
     """row_a, row_b, the levels and confidence of all pairs with a confidence of at least `least`."""
     labels = {} if dictionaries is None else {r.dict: r.label for r in dictionaries.select("dict", "label").collect()}
-    stop = common_words(home, guest)
     # written once: blocks are counted and joined from them
-    ready = [cut_lineage(prepared(t, stop, known, side), "keys") for t, known, side in ((home, labels, "h"), (guest, None, "g"))]
+    both = [cut_lineage(described(t, known), "rows") for t, known in ((home, labels), (guest, None))]
+    stop = _common(both[0].unionByName(both[1]), STOP_SHARE)
+    ready = [without_common(t, stop) for t in both]
     pairs = cut_lineage(candidates(*ready, hot_pairs), "pairs")
     synonyms = bounded(cut_lineage(synonym_table(pairs), "synonyms"))
     spoken = cut_lineage(translated(ready[1], synonyms), "spoken")
     scored = cut_lineage(compared(pairs, spoken, learned_dicts(pairs)), "compared")
+    discard(*both, pairs, spoken)
     patterns = scored.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()
     if patterns.empty:
         return scored.withColumn("confidence", F.lit(None).cast("double"))

@@ -160,3 +160,34 @@ def test_nulls_repeats_and_empty_tables(spark):
         for r in K.link(a, b, least=0.0).collect():
             assert {r.row_a, r.row_b} <= {1, 4} and 0 <= r.confidence <= 1
     assert K.link(df.limit(0), df.limit(0)).columns[-1] == "confidence"
+
+
+def test_links_are_the_same_however_blocks_are_cut(spark):
+    home, guest, _ = collections(random.Random(11), 150)
+    # a hot lemma, of which some rows have neither label nor gloss
+    home += [(5000 + i, "hotword", [(1, "hotword")], None, None if i % 3 else "the heavy ditch kept by the dry bell") for i in range(20)]
+    guest += [(20_000 + i, "hotword", [(6, "hotword")], None, None if i % 2 else "the heavy trench kept by the dry bell") for i in range(15)]
+    home, guest = (spark.createDataFrame(rows, ROWS) for rows in (home, guest))
+    got = [sorted((r.row_a, r.row_b, round(r.confidence, 6)) for r in K.link(home, guest, hot_pairs=n).collect()) for n in (0, 20, 1_000_000)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_words_misspelled_at_both_ends_are_linked(spark):
+    rng = random.Random(13)
+    home, guest, truth = collections(rng, 300)
+    changed = []
+    for g in guest:
+        word = g[1]
+        if rng.random() < 0.3:
+            word = rng.choice("xz") + word[1:-1] + rng.choice("xz")
+            changed.append(g[0])
+        changed_row = (g[0], word, [(d, word) for d, _ in g[2]], g[3], g[4])
+        guest[guest.index(g)] = changed_row
+    links = {(r.row_a, r.row_b) for r in K.link(spark.createDataFrame(home, ROWS), spark.createDataFrame(guest, ROWS)).collect()}
+    both = {(h, g) for h, g in truth if g in set(changed)}
+    assert len(both) > 40 and len(links & both) / len(both) > 0.85
+
+
+def test_plain_spellings_have_the_skeleton_of_all_others():
+    assert all(K._sign(chr(c)) == chr(c) for c in range(32, 127))
+    assert K.skeletons("Rex Vita (2)") == K.skeletons("rex​ vita") == ["rex uita"]
