@@ -64,23 +64,34 @@ def marks_allow(query_fold: str, word: str) -> bool:
     return len(asked) <= len(given) and all(b == c and m <= n for (b, m), (c, n) in zip(asked, given))
 
 
+def marks_of(folded: str) -> list[str]:
+    """The marks of a spelling with the number of their base. Of two spellings with one bare key, the first allows the second if its marks are among those of the second."""
+    return [f"{i}{m}" for i, (_, marks) in enumerate(_by_base(U.normalize("NFD", strip_homograph(folded)))) for m in sorted(marks)]
+
+
 def without_homograph(word: Column) -> Column:
     return F.regexp_replace(word, HOMOGRAPH, "")
 
 
 @functools.cache
 def _keys():
-    @F.pandas_udf("fold_key string, bare_key string")
+    @F.pandas_udf("fold_key string, bare_key string, marks array<string>, optional boolean")
     def derive(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for words in batches:
             folds = [None if w is None else fold(w) for w in words]
-            yield pd.DataFrame({"fold_key": folds, "bare_key": [None if f is None else bare(f) for f in folds]}, dtype=object)
+            own = {
+                "fold_key": folds,
+                "bare_key": [None if f is None else bare(f) for f in folds],
+                "marks": [None if f is None else marks_of(f) for f in folds],
+                "optional": [None if f is None else only_optional_marks(f) for f in folds],
+            }
+            yield pd.DataFrame(own, dtype=object)
 
     return derive
 
 
 def with_keys(df: DataFrame, word: str = "word") -> DataFrame:
-    """df with fold_key, bare_key, fold_class (the fold without homograph number) and plain (no such number)."""
+    """df with fold_key, bare_key, fold_class (the fold without homograph number), plain (no such number), marks (see marks_of) and optional (whether all marks are)."""
     w = F.col(word)
     ascii_only = ~w.rlike(r"[^\x00-\x7F]")
     # called nondeterministic, so that filters on keys don't derive them a second time below
@@ -90,6 +101,8 @@ def with_keys(df: DataFrame, word: str = "word") -> DataFrame:
             "fold_key": F.when(ascii_only, F.lower(w)).otherwise(F.col("_k.fold_key")),
             "bare_key": F.when(ascii_only, without_homograph(F.lower(w))).otherwise(F.col("_k.bare_key")),
             "plain": w == without_homograph(w),
+            "marks": F.coalesce("_k.marks", F.array().cast("array<string>")),
+            "optional": F.coalesce("_k.optional", F.lit(True)),
         }
     ).withColumn("fold_class", without_homograph(F.col("fold_key"))).drop("_k")
 

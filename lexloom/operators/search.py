@@ -6,8 +6,6 @@ query has marks, by a vectorised residual. Rows come out with `bare_key` and `fi
 
 from __future__ import annotations
 
-import functools
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +15,6 @@ from lexloom.functions.keys import allows_marks
 from lexloom.session import bounded, cut_lineage
 
 DEFAULT_LIMIT = 500
-_HOSTS = "array<struct<host:string,maximal:boolean>>"
 _POSITION = ("bare_key", "first_slot")
 
 
@@ -40,22 +37,25 @@ def candidates(index: DataFrame, query: str, scope: DataFrame | None = None) ->
     return found.filter(allows_marks(folded, F.col("word"))) if marked else found
 
 
-@functools.cache
-def _hosts_of():
-    @F.pandas_udf(_HOSTS)
-    def resolve(groups: pd.Series) -> pd.Series:
-        out = []
-        for classes in groups:
-            classes = [] if classes is None else list(classes)
-            top = {c for c in classes if not any(o != c and keys.marks_allow(c, o) for o in classes)}
-            rows = []
-            for c in classes:
-                hosts = [] if c in top else [h for h in classes if h in top and keys.only_optional_marks(h) and keys.marks_allow(c, h)]
-                rows.append({"host": hosts[0] if len(hosts) == 1 else c, "maximal": c in top or len(hosts) == 1})
-            out.append(rows)
-        return pd.Series(out)
+def _hosted(cs: Column) -> Column:
+    """For each spelling class of a key the class it is shown under, and whether it is shown: host, maximal.
+
+    A class is at the top if no other has all its marks. One that isn't is shown under the one class at the top that
+    has all its marks and only optional ones; if there are several, or none, under itself.
+    """
+    within = lambda c, o: F.size(F.array_except(c["marks"], o["marks"])) == 0
+    top = lambda c: ~F.exists(cs, lambda o: (o["fold_class"] != c["fold_class"]) & within(c, o))
+    tops = F.filter(cs, top)
+
+    def one(c: Column) -> Column:
+        hosts = F.filter(tops, lambda h: h["optional"] & within(c, h))
+        shown, alone = top(c), F.size(hosts) == 1
+        return F.struct(
+            F.when(~shown & alone, F.get(hosts, F.lit(0))["fold_class"]).otherwise(c["fold_class"]).alias("host"),
+            (shown | alone).alias("maximal"),
+        )
 
-    return resolve
+    return F.transform(cs, one)
 
 
 def group_rows(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFrame:
@@ -63,7 +63,7 @@ def group_rows(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFra
 
     members: struct<dict, spelling> by dictionary, those of the shown spelling before absorbed ones, without repeats
     that follow each other. ids: the entries of all members. One exchange, by key; the rows of a key are then made
-    in its own row. Only keys with several spellings, of which there are few, go through Python.
+    in its own row, without Python.
     """
     classes = (
         found.repartition(*by)
@@ -73,15 +73,15 @@ def group_rows(found: DataFrame, by: tuple[str, ...] = ("bare_key",)) -> DataFra
             F.bool_and("is_alias").alias("silent"),
             F.min(F.struct("slot", "word", "plain")).alias("first"),
             F.min(F.when(F.col("plain"), F.struct("slot", "word"))).alias("first_plain"),
+            F.any_value("marks").alias("marks"),
+            F.any_value("optional").alias("optional"),
             F.collect_list(F.struct("dict", "slot", "word", "entry_id")).alias("m"),
         )
     )
-    held = classes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("class_slot", "fold_class", "silent", "first", "first_plain", "m"))).alias("cs"))
+    held = classes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("class_slot", "fold_class", "silent", "first", "first_plain", "marks", "optional", "m"))).alias("cs"))
     several = F.size("cs") > 1
-    spelled = F.transform("cs", lambda c: c["fold_class"])
     alone = F.transform("cs", lambda c: F.struct(c["fold_class"].alias("host"), F.lit(True).alias("maximal")))
-    hosted = held.withColumn("hs", _hosts_of()(F.when(several, spelled)))
-    hosted = hosted.withColumn("zs", F.arrays_zip("cs", F.when(several, F.col("hs")).otherwise(alone).alias("hs")))
+    hosted = held.withColumn("zs", F.arrays_zip("cs", F.when(several, _hosted(F.col("cs"))).otherwise(alone).alias("hs")))
     placed = hosted.select(*by, "zs", F.explode(F.array_distinct(F.transform("zs", lambda z: z["hs"]["host"]))).alias("host"))
     mine = F.filter("zs", lambda z: z["hs"]["host"] == F.col("host"))
     c = F.get(F.filter(mine, lambda z: z["cs"]["fold_class"] == F.col("host")), F.lit(0))["cs"]
@@ -158,21 +158,21 @@ def page(index: DataFrame, query: str, n: int = DEFAULT_LIMIT, scope: DataFrame
     return rows.limit(n), rows.limit(n + 1).count() > n
 
 
-def batch_search(index: DataFrame, queries: DataFrame, scope: DataFrame | None = None, stem: int = 2) -> DataFrame:
+def batch_search(index: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Rows for many queries at once: query_id, bare_key, first_slot, word, members, all_aliases.
 
-    queries: query_id, query. Needles meet the index by an equi-join on their first characters, then by prefix;
-    needles shorter than that have their own join per length, so no pair is tried that shares nothing.
+    queries: query_id, query. Each key is met with the needles by its beginnings of the lengths that needles have, in one
+    pass and by one equi-join: a pair that is tried is a pair that is found, whatever the needles have in common.
     """
     asked = keys.with_keys(queries.select("query_id", F.trim("query").alias("word")).filter("word is not null"))
     asked = asked.select("query_id", F.col("fold_key").alias("q_fold"), F.col("bare_key").alias("needle"), (F.col("bare_key") != F.col("fold_class")).alias("marked")).filter("needle <> ''")
     # written and counted, so that needles are broadcast while they are few and the index is streamed past them
-    asked = bounded(cut_lineage(asked, "needles"))
-    parts = []
-    for size in range(1, stem + 1):
-        own = asked.filter(F.length("needle") >= stem) if size == stem else asked.filter(F.length("needle") == size)
-        parts.append(index.join(own.withColumn("stem", F.left("needle", F.lit(size))), F.left("bare_key", F.lit(size)) == F.col("stem")).filter(F.col("bare_key").startswith(F.col("needle"))))
-    found = functools.reduce(DataFrame.unionByName, parts)
+    asked = cut_lineage(asked, "needles")
+    # at most as many rows as the longest needle has characters
+    told = asked.groupBy(F.length("needle").alias("n")).agg(F.max("marked").alias("marked")).collect()
+    lengths = F.array(*[F.lit(r.n) for r in sorted(told)]).cast("array<int>")
+    begun = index.withColumn("n", F.explode(F.filter(lengths, lambda n: n <= F.length("bare_key"))))
+    found = begun.withColumn("needle", F.expr("left(bare_key, n)")).join(bounded(asked), "needle")
     if scope is not None:
         found = found.join(scope.filter(~F.coalesce("scope", F.lit(True))).select("dict"), "dict", "left_anti")
 
@@ -180,8 +180,9 @@ def batch_search(index: DataFrame, queries: DataFrame, scope: DataFrame | None =
     def allowed(q: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([a is None or keys.marks_allow(a, b) for a, b in zip(q, w)], dtype=bool)
 
-    found = found.filter(allowed(F.when(F.col("marked"), F.col("q_fold")), F.col("word")))
-    return group_rows(found.drop("needle", "stem", "marked", "q_fold"), ("query_id", "bare_key")).drop("ids")
+    if any(r.marked for r in told):
+        found = found.filter(allowed(F.when(F.col("marked"), F.col("q_fold")), F.col("word")))
+    return group_rows(found.drop("needle", "n", "marked", "q_fold"), ("query_id", "bare_key")).drop("ids")
 
 
 def resolve(index: DataFrame, word: str, scope: DataFrame | None = None) -> DataFrame:

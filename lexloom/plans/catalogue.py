@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import language, markup
 from lexloom.functions.keys import with_keys, without_homograph
 from lexloom.operators import collection, index, rejects, search
-from lexloom.session import table
+from lexloom.session import shared_dir, table
 from lexloom.sources import paths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +31,15 @@ def _heads(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "headwords")
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return index.keyed(_heads(spark, d))
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The written index of the headwords in a folder, built by the first query that asks for it and while they stay as they are."""
+    return index.open_or_build(spark, _heads(spark, d), f"{shared_dir(spark)}/index-{zlib.crc32(d.encode()):08x}")
+
+
 def _dicts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dictionaries")
 
@@ -69,7 +75,7 @@ def slot_bases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merged_order(spark: SparkSession, d: str) -> DataFrame:
-    return index.merged_order(_index(spark, d)).select("bare_key", "slot", "dict", "idx")
+    return index.merged_order(_keyed(spark, d)).select("bare_key", "slot", "dict", "idx")
 
 
 def keys(spark: SparkSession, d: str) -> DataFrame:
