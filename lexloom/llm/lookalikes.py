@@ -201,6 +201,7 @@ class Rewriter:
 
         self.forms, self.order = usual_forms(counts)
         self.cross = {m for m, best in self.forms.items() if len([s for s in best if s]) > 1}
+        self._usual: dict[str, str | None] = {}
         self.automaton = ahocorasick.Automaton()
         for m, best in self.forms.items():
             # plain strings such as "vi" belong to classes (of a Roman number) but are no odd form of anything
@@ -208,6 +209,14 @@ class Rewriter:
                 self.automaton.add_word(m, m)
         self.automaton.make_automaton()
 
+    def usual(self, c: str) -> str | None:
+        """The script of a sign that stands for itself wherever its script is written ("" if it has none); None for all others."""
+        if c not in self._usual:
+            own = script(c) or ""
+            odd = unseen(c) or other_space(c) or U.category(c)[0] == "M" or (c in self.forms and self.forms[c].get(own) != c)
+            self._usual[c] = None if odd else own
+        return self._usual[c]
+
     def own_script(self, text: str) -> str:
         sure: Counter[str] = Counter()
         every: Counter[str] = Counter()
@@ -226,6 +235,11 @@ class Rewriter:
         """The text in its usual characters, and whether it was a case."""
         if PLAIN.match(text):
             return text, False
+        known = self._usual
+        kinds = {known[c] if c in known else self.usual(c) for c in text}
+        if None not in kinds and len(kinds - {""}) < 2:
+            # usual signs of one script: nothing to rewrite
+            return text, False
         seen = "".join(" " if other_space(c) else c for c in text if not unseen(c))
         scripts = {s for s in map(script, seen) if s}
         own = self.own_script(seen)

@@ -65,3 +65,15 @@ def test_rewriting_twice_changes_nothing(spark, data):
 def test_empty_and_long(spark):
     assert run(spark, []) == {}
     assert run(spark, ["wоrd " * 100_000])[0] == ("word " * 100_000, True)
+
+
+def test_values_of_usual_signs_are_as_the_automaton_leaves_them():
+    import random
+
+    rng = random.Random(3)
+    signs = "abcoxеоаλόγοςсловоמלךÀéñßＡ１²ﬁ ​ -'́·ӱёйϲ"
+    one, slow = (L.Rewriter({c: i + 1 for i, c in enumerate(signs)}) for _ in range(2))
+    slow.usual = lambda c: None
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 5)))
+        assert one(text) == slow(text), ascii(text)
