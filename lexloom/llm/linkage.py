@@ -35,6 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.casefold import casefold
 from lexloom.llm import lookalikes
 from lexloom.session import bounded, cut_lineage, discard
 
@@ -45,7 +46,6 @@ NO_KEY = re.compile(r"[^a-z0-9 ]")
 GRAMMAR = frozenset("adj adv prep conj pron especially".split())
 #: Letters written for each other in one language's spelling.
 VARIANTS = str.maketrans("vkyj", "ucii")
-ROW = "row_id bigint, exact array<string>, word_key string, tokens array<string>, label string, labels array<string>, dicts array<int>, lemma string, gloss string"
 #: Edits by which words misspelled throughout may differ.
 EDITS = 2
 #: The share of lemmas in whose glosses a word tells nothing.
@@ -151,27 +151,59 @@ def parts_met(word: str) -> set[str]:
     return out
 
 
+#: Texts of other signs than printable ASCII have their keys derived in Python, all others in the JVM.
+SPECIAL = r"[^\x20-\x7e]"
+
+
+def _plain_skeleton(text: Column) -> Column:
+    """skeletons of a text of printable ASCII: one key, or an empty one."""
+    bare = F.regexp_replace(F.trim(text), r" \(\d+\)\z", "")
+    return F.trim(F.regexp_replace(F.translate(F.regexp_replace(F.lower(bare), "[^a-z0-9 ]", ""), "vkyj", "ucii"), " +", " "))
+
+
+def _label_key(label: Column) -> Column:
+    """label_key as an expression."""
+    words = F.filter(F.regexp_extract_all(casefold(label), F.lit(r"\p{L}+"), F.lit(0)), lambda w: w != "the")
+    key = F.left(F.array_join(words, ""), F.lit(8))
+    return F.when(key != "", key)
+
+
 def described(rows: DataFrame, dict_labels: dict[int, str] | None) -> DataFrame:
     """Rows with their skeletons, gloss words, labels and dictionaries; dict_labels gives the labels of a row's dictionaries where its numbers are known."""
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key_of = functools.lru_cache(1 << 12)(label_key)
-        for b in batches:
-            out = []
-            for row_id, word, members, label, gloss in zip(b.row_id, b.word, b.members, b.label, b.gloss):
-                members = [m for m in (members if members is not None else ()) if m is not None]
-                own_keys = skeletons(word)
-                spelled = [k for s in dict.fromkeys(m["spelling"] for m in members) for k in skeletons(s)]
-                word_key = own_keys[0] if own_keys else ""
-                tokens = sorted(set(words_of(gloss)))
-                dicts = sorted({int(m["dict"]) for m in members if m["dict"] is not None})
-                own = key_of(label)
-                known = {own, *(key_of(dict_labels.get(d)) for d in dicts)} if dict_labels else {own}
-                lemma = word_key or (spelled[0] if spelled else None)
-                out.append((row_id, sorted({*own_keys, *spelled}), word_key, tokens, own, sorted(k for k in known if k), dicts, lemma, gloss))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in ROW.split(", ")])
-
-    return rows.select("row_id", "word", "members", "label", "gloss").mapInPandas(describe, ROW).withColumn("rid", F.monotonically_increasing_id())
+    @F.pandas_udf("array<array<string>>")
+    def keys_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda ts: None if ts is None else [list(_skeletons(t)) for t in ts])
+
+    @F.pandas_udf("array<string>")
+    def telling(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for glosses in batches:
+            yield glosses.map(lambda g: None if g is None else sorted(set(words_of(g))))
+
+    spelled = F.array_distinct(F.filter(F.concat(F.array("word"), F.coalesce(F.transform("members", lambda m: m["spelling"]), F.array().cast("array<string>"))), lambda t: t.isNotNull() & (t != "")))
+    df = rows.select("row_id", "word", "members", "label", "gloss").withColumn("_t", spelled)
+    df = df.withColumn("_s", F.filter("_t", lambda t: t.rlike(SPECIAL)))
+    df = df.withColumn("_k", keys_of(F.when(F.size("_s") > 0, F.col("_s"))))
+    df = df.withColumn("_g", telling(F.when(F.col("gloss").rlike(SPECIAL), F.col("gloss"))))
+    # keys of each text, in the order of the texts
+    each = F.transform("_t", lambda t: F.when(t.rlike(SPECIAL), F.get("_k", F.array_position("_s", t).cast("int") - 1)).otherwise(F.filter(F.array(_plain_skeleton(t)), lambda k: k != "")))
+    df = df.withColumn("_e", F.coalesce(each, F.array().cast("array<array<string>>")))
+    own = F.when(F.col("word").isNotNull() & (F.col("word") != ""), F.get(F.get("_e", F.lit(0)), F.lit(0)))
+    plain = F.filter(F.regexp_extract_all(F.lower("gloss"), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*sorted(GRAMMAR)))
+    dicts = F.array_sort(F.array_distinct(F.filter(F.transform("members", lambda m: m["dict"]), lambda x: x.isNotNull())))
+    label = _label_key(F.col("label"))
+    known = F.array(label)
+    if dict_labels:
+        names = F.create_map(*[F.lit(x) for d, t in dict_labels.items() for x in (d, label_key(t))])
+        known = F.concat(known, F.coalesce(F.transform("_d", lambda x: F.try_element_at(names, x)), F.array().cast("array<string>")))
+    df = df.withColumns({"_w": own, "_d": F.coalesce(dicts, F.array().cast("array<int>"))})
+    return df.select(
+        "row_id", F.array_sort(F.array_distinct(F.flatten("_e"))).alias("exact"), F.coalesce("_w", F.lit("")).alias("word_key"),
+        F.coalesce("_g", F.array_sort(F.array_distinct(plain)), F.array().cast("array<string>")).alias("tokens"), label.alias("label"),
+        F.array_sort(F.array_distinct(F.filter(known, lambda k: k.isNotNull()))).alias("labels"), F.col("_d").alias("dicts"),
+        F.coalesce("_w", F.get(F.flatten("_e"), F.lit(0))).alias("lemma"), "gloss",
+    ).withColumn("rid", F.monotonically_increasing_id())
 
 
 def without_common(rows: DataFrame, stop: set[str]) -> DataFrame:
