@@ -117,6 +117,17 @@ _LEAKED = f"""
 WITH d AS ({_RUNS.format(id="doc_id", words=_WORDS, table="documents")}), i AS ({_RUNS.format(id="item_id", words=_WORDS, table="eval_items")})
 SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)
 """
+_PLACED = """
+  SELECT {id}, unnest(range(1, len(w) - 10)) AS pos, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run
+  FROM (SELECT {id}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
+"""
+_ITEMS = f"""
+WITH d AS ({_PLACED.format(id="doc_id", words=_WORDS, table="documents")}), i AS (SELECT DISTINCT * FROM ({_RUNS.format(id="item_id", words=_WORDS, table="eval_items")})),
+h AS (SELECT DISTINCT doc_id, item_id, pos FROM d JOIN i USING (run)),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id ORDER BY pos) AS island FROM h),
+r AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM g GROUP BY doc_id, item_id, island)
+SELECT item_id, count(DISTINCT doc_id) AS documents, max(n)::INT AS longest_run FROM r GROUP BY item_id
+"""
 _ODD = r"""
 SELECT DISTINCT field, row_key FROM (
   SELECT 'headword' AS field, slot AS row_key, word AS v FROM headwords JOIN dictionaries USING (dict) WHERE format = 'StarDict'
@@ -149,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"WITH c AS ({_CANON}), g AS (SELECT *, min(slot) OVER (PARTITION BY dict, canon) AS slot_a FROM c) SELECT slot_a, slot AS slot_b FROM g WHERE slot <> slot_a",
         "p4_records": f"SELECT dict, canon, min(slot) AS slot, count(*) AS copies, count(DISTINCT word) AS layouts FROM ({_CANON}) JOIN headwords USING (slot, dict) GROUP BY dict, canon",
         "p7_found": _LEAKED,
+        "p7_items": _ITEMS,
     }
