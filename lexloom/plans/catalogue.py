@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import language, markup
 from lexloom.functions.keys import with_keys, without_homograph
 from lexloom.operators import collection, index, rejects, search
+from lexloom.plans import files
 from lexloom.session import shared_dir, table
 from lexloom.sources import paths
 
@@ -261,6 +262,38 @@ def p1_valid(spark: SparkSession, d: str) -> DataFrame:
     return rejects.valid_records(table(spark, d, "csv_lines"), table(spark, d, "dsl_cards"))
 
 
+def p1_valid_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The valid records line by line: format, rec_id, part (headword or body), no, text."""
+    rows = p1_valid(spark, d)
+    one = lambda part, column: rows.select("format", "rec_id", F.lit(part).alias("part"), F.posexplode(column).alias("no", "text"))
+    return one("headword", "headwords").unionByName(one("body", "body"))
+
+
+def index_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Headwords and dictionaries of the index; its bytes, versions and the cost of opening differ by run."""
+    _index(spark, d)
+    got = index.figures(spark, _heads(spark, d), f"{shared_dir(spark)}/index-{zlib.crc32(d.encode()):08x}")
+    return got.select("headwords", "dictionaries", (F.col("bytes") > 0).alias("stored"), (F.col("open_ms") >= 0).alias("opened"))
+
+
+def definitions_ranked_all(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of all rows of the index, not of those under one prefix: how many sections, entries and characters each row has."""
+    rows = search.group_rows(_index(spark, d))
+    got = collection.definitions_of(rows, collection.entries_of(table(spark, d, "definitions")), _dicts(spark, d))
+    chars = F.aggregate("entries", F.lit(0).cast("bigint"), lambda n, e: n + F.length(e))
+    return got.groupBy("bare_key", "first_slot").agg(F.count("*").alias("sections"), F.sum(F.size("entries")).alias("entries"), F.sum(chars).alias("chars"))
+
+
+def row_language_tags_all(spark: SparkSession, d: str) -> DataFrame:
+    """Language tags of all rows of the index."""
+    return search.language_tags(search.group_rows(_index(spark, d)), _dicts(spark, d)).select("bare_key", "first_slot", "tags")
+
+
+def fold_forms_all(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the index, without those whose entries an earlier row shows."""
+    return _flat(search.fold_repeats(search.group_rows(_index(spark, d))).drop("ids"))
+
+
 def dsl_filings(spark: SparkSession, d: str) -> DataFrame:
     """All keys the valid cards are filed under, with whether they are listed."""
     from lexloom.functions import dsl_columns
@@ -283,6 +316,7 @@ def queries() -> dict[str, Query]:
         prefix_search_all, prefix_search_scoped, prefix_search_marked, prefix_search_pointed, prefix_search_batch, fold_forms, key_aligned_limit, page_rows, spelling_classes,
         resolve_word, row_language_tags, exact_lookup, definitions_ranked, reading_order, order_repair, scope_default, shelf, label_collisions,
         label_disambiguated, language_tag, language_pair, language_group_order, path_classify, discovered, b64_offsets, tsv_first_wins, link_targets,
-        html_text, html_runs, sense_lines, sense_lines_all, fuzzy_keys, dsl_filings, dsl_html, p1_found, p1_reasons, p1_valid,
+        html_text, html_runs, sense_lines, sense_lines_all, fuzzy_keys, dsl_filings, dsl_html, p1_found, p1_reasons, p1_valid, p1_valid_lines,
+        index_figures, definitions_ranked_all, row_language_tags_all, fold_forms_all,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in (*own, *files.QUERIES)}

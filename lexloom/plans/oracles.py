@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexloom.functions import keys
 from lexloom.functions.language import PAIR_NAMES, TITLE_PARTS
 from lexloom.plans import catalogue as c
+from lexloom.plans import files
 
 _FOLD = "lower(nfc_normalize(word))"
 for _a, _b in (("ß", "ss"), ("ς", "σ"), ("µ", "μ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
@@ -98,10 +99,20 @@ _N = r'("[0-9]{1,18}"|[0-9]{1,18})'
 _RECORD = rf"{_F}\t{_N}\t{_F}\t{_F}\t{_F}\t{_N}"
 
 
-def _removed(text: str, pair: str, times: int = 12) -> str:
-    for _ in range(times):
-        text = f"regexp_replace({text}, '{pair}', '', 'g')"
-    return text
+def _left_open(text: str, one: str, two: str, sign: str) -> str:
+    """Whether of two signs one is left open: opening ones count up, closing ones down to nothing, at any depth."""
+    return (
+        f"list_reduce(list_prepend('0', regexp_extract_all({text}, '{one}|{two}')),"
+        f" lambda a, t: CASE WHEN t = '{sign}' THEN (a::INT + 1)::VARCHAR ELSE greatest(a::INT - 1, 0)::VARCHAR END) <> '0'"
+    )
+
+
+def _misnested(text: str) -> str:
+    """Whether brackets aren't closed and properly nested: each closing one takes its opening one off the end of what is left."""
+    return (
+        f"list_reduce(list_prepend('', regexp_extract_all({text}, '[(){{}}]')),"
+        " lambda a, t: CASE WHEN (t = ')' AND ends_with(a, '(')) OR (t = '}' AND ends_with(a, '{')) THEN a[:-2] ELSE a || t END) <> ''"
+    )
 
 
 def _faulty() -> str:
@@ -109,23 +120,37 @@ def _faulty() -> str:
     unquoted = f"CASE WHEN starts_with(h, '\"') THEN replace(h[2:-2], '\"\"', '\"') ELSE h END"
     csv = rf"""SELECT 'Csv' AS format, line_id AS rec_id FROM (SELECT line_id, line, regexp_extract({line}, '{_RECORD}', 3) AS h FROM csv_lines)
   WHERE line IS NULL OR NOT regexp_full_match({line}, '{_RECORD}') OR regexp_matches({line}, '[\x00-\x08\x0a-\x1f]') OR regexp_full_match({unquoted}, '\s*')"""
-    tokens = lambda one, two: f"array_to_string(regexp_extract_all(x, '{one}|{two}'), '')"
-    unclosed = lambda one, two, sign: f"contains({_removed(tokens(one, two), one + two)}, '{sign}')"
     dsl = rf"""SELECT 'Dsl', card_id FROM (
     SELECT card_id, card, list_filter(string_split_regex(regexp_replace(card, '\\[^\r\n]', 'x', 'g'), '\r?\n'), lambda x: regexp_matches(x, '\S')) AS l FROM dsl_cards)
   WHERE card IS NULL OR regexp_matches(card, '[\x00-\x08\x0b\x0c\x0e-\x1f]') OR regexp_matches(replace(card, chr(13) || chr(10), ''), '\r')
     OR NOT regexp_full_match(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '^[\t ]') THEN 'b' ELSE 'h' END), ''), 'h+b+')
-    OR len(list_filter(l, lambda x: NOT regexp_matches(x, '^[\t ]') AND {_removed("regexp_replace(x, '[^(){}]', '', 'g')", r"[(][)]|[{][}]")} <> '')) > 0
+    OR len(list_filter(l, lambda x: NOT regexp_matches(x, '^[\t ]') AND {_misnested("x")})) > 0
     OR len(list_filter(l, lambda x: regexp_matches(x, '^[\t ]') AND (NOT regexp_full_match(regexp_replace(x, '[^\[\]]', '', 'g'), '(\[\])*')
-      OR {unclosed("[{][{]", "[}][}]", "{{")} OR {unclosed("<<", ">>", "<<")} OR regexp_matches(regexp_replace(x, '\[m[0-9]?\]', '', 'g'), '\[m')
+      OR {_left_open("x", "[{][{]", "[}][}]", "{{")} OR {_left_open("x", "<<", ">>", "<<")} OR regexp_matches(regexp_replace(x, '\[m[0-9]?\]', '', 'g'), '\[m')
       OR regexp_matches(x, '\[ref\]\s*\[/ref\]|<<\s*>>')))) > 0"""
     return f"{csv} UNION ALL {dsl}"
 
 
+def _valid() -> str:
+    line = r"regexp_replace(line, '\r$', '')"
+    field = lambda n: f"regexp_extract({line}, '{_RECORD}', {n})"
+    unquoted = lambda x: f"CASE WHEN starts_with({x}, '\"') THEN replace(({x})[2:-2], '\"\"', '\"') ELSE {x} END"
+    return rf"""WITH f AS ({_faulty()}),
+ v AS (SELECT line_id, {unquoted(field(3))} AS h, {unquoted(field(5))} AS b FROM csv_lines WHERE line_id NOT IN (SELECT rec_id FROM f WHERE format = 'Csv')),
+ c AS (SELECT card_id, list_filter(string_split_regex(card, '\r?\n'), lambda x: regexp_matches(x, '\S')) AS l FROM dsl_cards WHERE card_id NOT IN (SELECT rec_id FROM f WHERE format = 'Dsl')),
+ p AS (SELECT card_id, list_filter(l, lambda x: NOT regexp_matches(x, '^[\t ]')) AS h, list_filter(l, lambda x: regexp_matches(x, '^[\t ]')) AS b FROM c)
+SELECT 'Csv' AS format, line_id AS rec_id, 'headword' AS part, 0 AS no, regexp_replace(h, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS text FROM v
+UNION ALL SELECT 'Csv', line_id, 'body', 0, b FROM v
+UNION ALL SELECT 'Dsl', card_id, 'headword', unnest(range(0, len(h)))::INT, unnest(h) FROM p
+UNION ALL SELECT 'Dsl', card_id, 'body', unnest(range(0, len(b)))::INT, unnest(b) FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     limited = f"WITH {_rows(_NEEDLE)}, n AS (SELECT bare_key, count(*) AS n FROM r GROUP BY bare_key), b AS (SELECT bare_key, coalesce(sum(n) OVER (ORDER BY bare_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)"
     return {
         "p1_found": _faulty(),
+        "p1_valid_lines": _valid(),
+        **files.sql(_faulty()),
         "kw_total": "SELECT count(*) AS headwords FROM headwords",
         "kw_per_dict": "SELECT dict, count(*) AS headwords FROM headwords GROUP BY dict",
         "scope_size": f"SELECT *, all_dicts > 0 AND dicts = 0 AS nothing_selected FROM ({_SIZE})",
@@ -157,6 +182,19 @@ def oracle_sql() -> dict[str, str]:
    WHERE e.entry <> '' AND o.dict NOT IN (SELECT dict FROM dictionaries WHERE NOT scope)),
  q AS (SELECT *, row_number() OVER (PARTITION BY bare_key, first_slot, dict, entry ORDER BY pos, def_id, part) AS k, min(pos) OVER (PARTITION BY bare_key, first_slot, dict) AS p FROM g)
  SELECT bare_key, first_slot, rank, q.dict, d.label, d.derived, string_agg(entry, '␞' ORDER BY pos, def_id, part) AS entries FROM q JOIN rk USING (dict) JOIN dictionaries d USING (dict) WHERE k = 1 OR pos = p GROUP BY ALL""",
+        "definitions_ranked_all": f"""WITH {_rows('true')}, e AS ({_ENTRIES}),
+ g AS (SELECT r.bare_key, r.first_slot, o.pos, e.dict, e.def_id, e.part, e.entry FROM r JOIN o ON o.bare_key = r.bare_key AND o.host = r.host JOIN e ON e.dict = o.dict AND e.word = o.word
+   WHERE e.entry <> '' AND o.dict NOT IN (SELECT dict FROM dictionaries WHERE NOT scope)),
+ q AS (SELECT *, row_number() OVER (PARTITION BY bare_key, first_slot, dict, entry ORDER BY pos, def_id, part) AS k, min(pos) OVER (PARTITION BY bare_key, first_slot, dict) AS p FROM g)
+ SELECT bare_key, first_slot, count(DISTINCT dict) AS sections, count(*)::BIGINT AS entries, sum(length(entry))::BIGINT AS chars FROM q WHERE k = 1 OR pos = p GROUP BY ALL""",
+        "row_language_tags_all": f"""WITH {_rows('true')}, t AS (SELECT o.bare_key, o.host, {_TAG} AS tag, min(pos) AS pos FROM o JOIN dictionaries USING (dict) GROUP BY ALL)
+ SELECT r.bare_key, r.first_slot, coalesce(string_agg(tag, ' · ' ORDER BY pos) FILTER (tag IS NOT NULL), '') AS tags FROM r LEFT JOIN t ON t.bare_key = r.bare_key AND t.host = r.host GROUP BY r.bare_key, r.first_slot""",
+        "fold_forms_all": f"""WITH {_rows('true')}, ids AS (SELECT DISTINCT dict, word, entry_id FROM k WHERE entry_id IS NOT NULL),
+ sh AS (SELECT DISTINCT r.bare_key, r.first_slot, i.dict, i.entry_id FROM r JOIN o ON o.bare_key = r.bare_key AND o.host = r.host JOIN ids i ON i.dict = o.dict AND i.word = o.word),
+ se AS (SELECT *, min((bare_key, first_slot)) OVER (PARTITION BY dict, entry_id) AS first FROM sh),
+ dr AS (SELECT bare_key, first_slot FROM se GROUP BY ALL HAVING bool_and(first < (bare_key, first_slot)))
+ SELECT {_OUT} FROM r WHERE NOT (all_aliases AND (bare_key, first_slot) IN (SELECT (bare_key, first_slot) FROM dr))""",
+        "index_figures": "SELECT count(*) AS headwords, count(DISTINCT dict) AS dictionaries, true AS stored, true AS opened FROM headwords WHERE word IS NOT NULL",
         "reading_order": _SHELF,
         "order_repair": "SELECT dict, (row_number() OVER (ORDER BY rest, pos) - 1)::INT AS rank FROM (SELECT dict, coalesce(min(pos), dict) AS pos, min(pos) IS NULL AS rest FROM dictionaries LEFT JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 999), (4, 0)) v(pos, dict) USING (dict) GROUP BY dict)",
         "scope_default": "SELECT dict, coalesce(scope, true) AS scope FROM dictionaries",

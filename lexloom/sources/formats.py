@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from lexloom.functions import dsl
@@ -70,12 +72,31 @@ def parse_info(text: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, eq, v in (line.partition("=") for line in text.splitlines()) if eq}
 
 
-def _records(data: bytes, tail: int):
-    """(word, the bytes behind it) of NUL-terminated words, up to where the data is cut."""
-    at = 0
-    while (end := data.find(b"\0", at)) >= 0 and end + 1 + tail <= len(data):
-        yield _lossy(data[at:end]), data[end + 1 : end + 1 + tail]
-        at = end + 1 + tail
+def records(stream, tail: int, step: int = 1 << 20) -> Iterator[tuple[str, bytes]]:
+    """(word, the bytes behind it) of NUL-terminated words, up to where the data is cut; read piece by piece."""
+    held = b""
+    while piece := stream.read(step):
+        held += piece
+        at = 0
+        while (end := held.find(b"\0", at)) >= 0 and end + 1 + tail <= len(held):
+            yield _lossy(held[at:end]), held[end + 1 : end + 1 + tail]
+            at = end + 1 + tail
+        held = held[at:]
+
+
+def offset_form(info: dict[str, str]) -> str:
+    """How an index stores offset and size."""
+    bits = info.get("idxoffsetbits", "32")
+    if bits not in ("32", "64"):
+        raise ParseError(f"offsets of {bits} bits")
+    return ">QI" if bits == "64" else ">II"
+
+
+def entry_text(block: bytes, types: str | None) -> str:
+    """The text of an entry of a StarDict file whose entries are of these types."""
+    if types is None or len(types) > 1:
+        return block_text(block, types)
+    return _lossy(block) if "a" <= types <= "z" else ""
 
 
 def block_text(block: bytes, types: str | None) -> str:
@@ -109,23 +130,19 @@ def block_text(block: bytes, types: str | None) -> str:
 
 def stardict(stem: str, info: bytes, idx: bytes, data: bytes, syn: bytes = b"") -> Parsed:
     keys = parse_info(_lossy(info))
-    bits = keys.get("idxoffsetbits", "32")
-    if bits not in ("32", "64"):
-        raise ParseError(f"offsets of {bits} bits")
-    form = ">QI" if bits == "64" else ">II"
+    form = offset_form(keys)
     data, idx = unpacked(data), unpacked(idx)
     out = Parsed(keys.get("bookname") or stem)
-    raw = [(w, *struct.unpack(form, b)) for w, b in _records(idx, struct.calcsize(form))]
+    raw = [(w, *struct.unpack(form, b)) for w, b in records(io.BytesIO(idx), struct.calcsize(form))]
     out.filings = [(w, o, n, not w.startswith("##"), False) for w, o, n in raw]
-    for word, b in _records(unpacked(syn), 4):
+    for word, b in records(io.BytesIO(unpacked(syn)), 4):
         (at,) = struct.unpack(">I", b)
         if at < len(raw):
             out.filings.append((word, raw[at][1], raw[at][2], not word.startswith("##"), True))
     types = keys.get("sametypesequence") or None
     for _, o, n, _, _ in out.filings:
         if (o, n) not in out.texts and (block := _slice(data, o, n)) is not None:
-            text = block_text(block, types) if types is None or len(types) > 1 else _lossy(block) if "a" <= types <= "z" else ""
-            out.texts[o, n] = text
+            out.texts[o, n] = entry_text(block, types)
     return out
 
 
@@ -144,14 +161,18 @@ def b64(text: str) -> int:
     return n
 
 
+def index_line(line: str) -> tuple[str, int, int] | None:
+    """(word, offset, size) of a line of an index; None of a broken one."""
+    parts = line.removesuffix("\r").split("\t", 2)
+    try:
+        return parts[0], b64(parts[1]), b64(parts[2])
+    except (IndexError, ParseError):
+        return None
+
+
 def dictd(stem: str, index: bytes, data: bytes) -> Parsed:
     data, out = unpacked(data), Parsed(stem)
-    for line in _lossy(index).split("\n"):
-        parts = line.removesuffix("\r").split("\t", 2)
-        try:
-            word, offset, size = parts[0], b64(parts[1]), b64(parts[2])
-        except (IndexError, ParseError):
-            continue
+    for word, offset, size in filter(None, map(index_line, _lossy(index).split("\n"))):
         block = _slice(data, offset, size)
         if word.startswith("00-database-"):
             if word.startswith("00-database-short") and block is not None:
@@ -181,47 +202,57 @@ def table(stem: str, data: bytes) -> Parsed:
 # --- DSL --------------------------------------------------------------------------------------------------------------
 
 
-def decoded(data: bytes) -> str:
-    """Text by its byte-order mark, else UTF-16LE if every fifth byte of its beginning or more is NUL, else UTF-8."""
+def encoding_of(head: bytes) -> tuple[str, int]:
+    """(encoding, bytes of its mark) by the beginning of a file: by its byte-order mark, else UTF-16LE if every fifth byte or more is NUL, else UTF-8."""
     for mark, encoding in ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8")):
-        if data.startswith(mark):
-            body = data[len(mark) :]
-            return (body[: len(body) & ~1] if "16" in encoding else body).decode(encoding, "replace")
-    head = data[:1024]
-    if head and head.count(0) * 5 > len(head):
-        return data[: len(data) & ~1].decode("utf-16-le", "replace")
-    return _lossy(data)
+        if head.startswith(mark):
+            return encoding, len(mark)
+    head = head[:1024]
+    return ("utf-16-le" if head and head.count(0) * 5 > len(head) else "utf-8"), 0
+
+
+def decoded(data: bytes) -> str:
+    encoding, mark = encoding_of(data)
+    body = data[mark:]
+    return (body[: len(body) & ~1] if "16" in encoding else body).decode(encoding, "replace")
 
 
-def cards(text: str):
-    """(headword lines, offset in bytes, body) of each card; headers and headwords without body are left out."""
+def cards(lines: Iterable[str]) -> Iterator[tuple[list[str], int, str]]:
+    """(headword lines, offset in bytes of UTF-8, body) of each card; headers and headwords without body are left out.
+
+    lines are without their line feeds. One card at a time is held: its headwords, and its body as it grows.
+    """
     heads: list[str] = []
-    body: list[int] | None = None
-    at, spans, header = 0, [], True
-    raw = text.encode("utf-8", "replace")
-    for line in raw.split(b"\n"):
-        start, at = at, at + len(line) + 1
-        line = line.rstrip(b"\r")
-        shown = line.decode("utf-8")
-        indented = shown[:1] in ("\t", " ") and shown != ""
-        if not shown.strip() or (header and not indented and shown.startswith("#")):
+    body: list[str] = []
+    start = at = pending = 0
+    header = True
+    for raw in lines:
+        line, here = raw.rstrip("\r"), at
+        at += len(raw.encode("utf-8", "replace")) + 1
+        indented = line[:1] in ("\t", " ") and line != ""
+        if not line.strip() or (header and not indented and line.startswith("#")):
+            # blank lines belong to a body only if more of it follows
+            if body:
+                body.append(raw)
+                pending += 1
             continue
         header = False
         if indented:
-            body = [body[0] if body else start, start + len(line)]
-        else:
-            if body:
-                spans.append((heads, *body))
-                heads, body = [], None
-            heads = [*heads, shown]
+            if not body:
+                start = here
+            body.append(raw)
+            pending = 0
+            continue
+        if body:
+            yield heads, start, "\n".join(body[: len(body) - pending]).rstrip("\r")
+            heads, body, pending = [], [], 0
+        heads = [*heads, line]
     if body:
-        spans.append((heads, *body))
-    for lines, a, b in spans:
-        yield lines, a, raw[a:b].decode("utf-8")
+        yield heads, start, "\n".join(body[: len(body) - pending]).rstrip("\r")
 
 
-def dsl_name(text: str) -> str | None:
-    for line in text.split("\n"):
+def dsl_name(lines: Iterable[str]) -> str | None:
+    for line in lines:
         if line.strip() and not line.startswith("#"):
             return None
         if line.startswith("#NAME") and (name := line[5:].strip().strip('"').strip()):
@@ -231,9 +262,9 @@ def dsl_name(text: str) -> str | None:
 
 def dsl_file(stem: str, data: bytes) -> Parsed:
     text = decoded(unpacked(data))
-    name = dsl_name(text)
+    name = dsl_name(text.split("\n"))
     out = Parsed(name or stem)
-    for lines, offset, body in cards(text):
+    for lines, offset, body in cards(text.split("\n")):
         size = len(body.encode("utf-8"))
         for key, shown in dsl.filed(lines):
             out.filings.append((key, offset, size, shown, False))
