@@ -190,14 +190,14 @@ def _emails(text: str) -> Iterator[Span]:
             yield Span("email", m.start(), m.end(), 0.9)
 
 
-def _ids(text: str) -> Iterator[Span]:
+def _ids(text: str, bare: bool = True) -> Iterator[Span]:
     low = text.casefold()
     for m in ID.finditer(text) if any(x in low for x in ID_SIGNS) else ():
         n = m["n"]
         digits = sum(c.isdigit() for c in n)
         if digits >= 5:
             yield Span("id_number", m.start("n"), m.end("n"), 0.5 + 0.2 * (digits >= 6) + 0.3 * confirmed(n))
-    for m in BARE_ID.finditer(text):
+    for m in BARE_ID.finditer(text) if bare else ():
         yield Span("id_number", m.start(), m.end(), 0.3 + 0.4 * confirmed(m[0]))
 
 
@@ -255,8 +255,18 @@ class Part(NamedTuple):
 def _told(text: str, start: int, end: int) -> tuple[bool, bool, bool]:
     """Whether words before, words after and a title tell that a name stands here."""
     before = text[max(0, start - NEAR) : start]
-    plain = re.sub(rf"{TITLES}\s$", "", before)
-    return bool(_cues["name_before"].search(plain)), bool(_cues["name_after"].search(text[end : end + NEAR])), bool(re.search(rf"(?<!\w){TITLES}\s$", before[-8:]))
+    title = _titled.search(before[-8:])
+    plain = before[: len(before) - len(title[0])] if title else before
+    # the pattern is tried only where the last word ends one of its cues
+    last = plain.split()[-1:] or [""]
+    return last[0].casefold() in CUE_ENDS and bool(_cues["name_before"].search(plain)), bool(_cues["name_after"].match(text[end : end + NEAR])), bool(title)
+
+
+_titled = re.compile(rf"(?<!\w){TITLES}\s\Z")
+#: The last words of the cues before names.
+CUE_ENDS = frozenset(
+    "to by dear contact comm. (comm. was is yours, regards, sincerely, laut nach von an liebe lieber gruss, grüsse, selon après d'après d’après par de à cher chère cordialement, sincèrement, según por a querido querida atentamente, saludos,".split()
+)
 
 
 _elided = re.compile(r"\w{1,2}[’'][^\W\d_A-ZÀ-ÖØ-Þ]")
@@ -389,12 +399,22 @@ def _names(text: str, learned: Learned = NOTHING) -> Iterator[Span]:
         yield Span("name", m.start(), m.end(), min(0.2 + 0.4 * known + 0.4 * before + 0.4 * after, 1.0))
 
 
+#: Seven digits with little between them, without which there is no number of a phone, card, account or person that isn't labelled.
+_number = re.compile(r"\d(?:[ ./()-]{0,3}\d){6}")
+
+
+def _labelled_ids(text: str) -> Iterator[Span]:
+    return (s for s in _ids(text, bare=False))
+
+
 def find(text: str | None, learned: Learned = NOTHING) -> list[Span]:
     """The spans of a text in order, without overlaps; learned: what other documents tell, see learn."""
     if not text:
         return []
     kept: list[Span] = []
-    for propose in (_emails, _ibans, _ids, _cards, _addresses, _phones, lambda t: _names(t, learned)):
+    numbers = _number.search(text) is not None
+    of_numbers = (_ibans, _ids, _cards, _addresses, _phones) if numbers else (_labelled_ids, _addresses)
+    for propose in (_emails, *of_numbers, lambda t: _names(t, learned)):
         for s in sorted(propose(text), key=lambda s: (s.start - s.end, s.start)):
             if s.score >= THRESHOLD - 1e-9 and all(s.end <= k.start or s.start >= k.end for k in kept):
                 kept.append(s)
