@@ -110,8 +110,9 @@ def _common(rows: DataFrame, stop_share: float) -> set[str]:
     rows = cut_lineage(rows, "glosses")
     lemmas = rows.groupBy("lemma").agg(F.count("*").alias("glosses"))
     n = lemmas.count()
-    words = rows.select("lemma", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("gloss"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    shares = words.groupBy("lemma", "w").agg(F.count("*").alias("n")).join(lemmas, "lemma").groupBy("w").agg(F.sum(F.col("n") / F.col("glosses")).alias("n"))
+    # each gloss of a lemma has its part of the lemma's weight, so words are added up before their shuffle
+    words = F.array_distinct(F.regexp_extract_all(F.lower("gloss"), F.lit(r"\p{L}+"), F.lit(0)))
+    shares = rows.join(lemmas, "lemma").select((1 / F.col("glosses")).alias("n"), F.explode(words).alias("w")).groupBy("w").agg(F.sum("n").alias("n"))
     out = {r.w for r in shares.filter(F.round("n", 6) > stop_share * n).collect()}
     discard(rows)
     return out
@@ -229,10 +230,15 @@ def prepared(rows: DataFrame, stop: set[str], dict_labels: dict[int, str] | None
 
 def meeting(home: DataFrame, guest: DataFrame, hot_pairs: int) -> DataFrame:
     """All pairs of home (key, h_id) and guest (key, g_id) that share a key, once per key; blocks over hot_pairs are cut into a grid."""
-    count = lambda df, n: df.groupBy("key").agg(F.count("*").alias(n))
+    # written once, as keys are counted and joined
+    home, guest = (cut_lineage(df, "meeting") for df in (home, guest))
+    one = lambda df, h, g: df.select("key", F.lit(h).alias("h"), F.lit(g).alias("g"))
+    sizes = one(home, 1, 0).unionByName(one(guest, 0, 1)).groupBy("key").agg(F.sum("h").alias("nh"), F.sum("g").alias("ng"))
     side_parts = F.ceil(F.sqrt(F.col("nh") * F.col("ng") / F.lit(max(hot_pairs, 1)))).cast("int")
-    hot = count(home, "nh").join(count(guest, "ng"), "key").filter(F.col("nh") * F.col("ng") > hot_pairs).select("key", side_parts.alias("parts"))
-    hot = bounded(cut_lineage(hot, "hot"))
+    hot = cut_lineage(sizes.filter(F.col("nh") * F.col("ng") > hot_pairs).select("key", side_parts.alias("parts")), "hot")
+    if hot.isEmpty():
+        return home.join(guest, "key")
+    hot = bounded(hot)
 
     def parted(df: DataFrame, p: str) -> DataFrame:
         own = F.pmod(F.xxhash64(f"{p}_id"), F.col("parts")).cast("int")
