@@ -1,6 +1,6 @@
 """The merged index of headwords: slots, keys, order; written as sorted parquet in versions that never change.
 
-An index is a folder of versions. Each has its own folder, `v-<time>-<id>`, with the keyed headwords, what they were
+An index is a folder of versions. Each has its own folder, `headwords-<time>-<id>`, with the keyed headwords, what they were
 written from (files with size and time, rows and checksums by dictionary), and a manifest that is written last; a
 version without one is no version. Readers take the newest whole version, so they see the old one while a new one is
 being written, and never half of one. Rows that arrive later stand beside the headwords, by batch.
@@ -82,7 +82,7 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(root):
         return []
-    names = sorted(x.getPath().getName() for x in fs.listStatus(root) if x.getPath().getName().startswith("v-"))
+    names = sorted(x.getPath().getName() for x in fs.listStatus(root) if x.getPath().getName().startswith("headwords-"))
     return [f"{path}/{n}" for n in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/manifest/_SUCCESS"))]
 
 
@@ -94,9 +94,9 @@ def version_of(spark: SparkSession, path: str) -> str | None:
 def write(headwords: DataFrame, path: str) -> str:
     """Writes a version of the index, sorted by key, so that a prefix reads few row groups; returns its folder."""
     spark = headwords.sparkSession
-    at = f"{path}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    at = f"{path}/headwords-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     files = _files(headwords)
-    merged_order(keyed(headwords)).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/headwords")
+    merged_order(keyed(headwords)).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/rows")
     spark.createDataFrame([(f, n, t) for f, (n, t) in files.items()], "file string, size bigint, modified bigint").write.parquet(f"{at}/files")
     _state(headwords).coalesce(1).write.parquet(f"{at}/manifest")
     for old in versions(spark, path)[: -1 - KEPT]:
@@ -138,7 +138,7 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     later = [x.getPath().toString() for x in fs.listStatus(root)] if fs.exists(root) else []
     whole = [p for p in later if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
-    return spark.read.parquet(f"{at}/headwords", *sorted(whole))
+    return spark.read.parquet(f"{at}/rows", *sorted(whole))
 
 
 def open_or_build(spark: SparkSession, headwords: DataFrame, path: str) -> DataFrame:

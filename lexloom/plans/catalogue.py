@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from lexloom.functions import language, markup
 from lexloom.functions.keys import with_keys, without_homograph
 from lexloom.operators import collection, index, rejects, search
-from lexloom.plans import files
+from lexloom.plans import answers, files
 from lexloom.session import shared_dir, table
 from lexloom.sources import paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 NEEDLE, MARKED, REPEATED, POINTED, WORD, NEAR = "cra", "crâ", "pra", "מ", "шосуцэфэзац", "sacicraestax"
+#: A word that several dictionaries define.
+DEFINED = "faupliabrosod"
 QUERIES = [(1, "ad "), (2, "κλ"), (3, "סַ"), (4, ""), (5, "zzz"), (6, " Spo "), (7, "кр"), (8, "b"), (9, "É")]
 LIMIT = 25
 #: Paths for the rules of discovery.
@@ -294,6 +296,26 @@ def fold_forms_all(spark: SparkSession, d: str) -> DataFrame:
     return _flat(search.fold_repeats(search.group_rows(_index(spark, d))).drop("ids"))
 
 
+def _collection(spark: SparkSession, d: str) -> answers.Collection:
+    return answers.Collection(_dicts(spark, d), _index(spark, d), collection.entries_of(table(spark, d, "definitions")))
+
+
+def answer_define(spark: SparkSession, d: str) -> DataFrame:
+    """What `define` shows of a word, dictionary by dictionary."""
+    got = _collection(spark, d).define(DEFINED)
+    return got.select("word", "rank", "dict", "label", F.array_join("entries", "␞").alias("entries"))
+
+
+def answer_scope(spark: SparkSession, d: str) -> DataFrame:
+    """The shelf as JSON."""
+    return _collection(spark, d).scope_json()
+
+
+def answer_search(spark: SparkSession, d: str) -> DataFrame:
+    """What `search` answers as JSON: the first rows with their members, and whether there are more."""
+    return _collection(spark, d).search_json(NEEDLE, LIMIT)
+
+
 def dsl_filings(spark: SparkSession, d: str) -> DataFrame:
     """All keys the valid cards are filed under, with whether they are listed."""
     from lexloom.functions import dsl_columns
@@ -317,6 +339,6 @@ def queries() -> dict[str, Query]:
         resolve_word, row_language_tags, exact_lookup, definitions_ranked, reading_order, order_repair, scope_default, shelf, label_collisions,
         label_disambiguated, language_tag, language_pair, language_group_order, path_classify, discovered, b64_offsets, tsv_first_wins, link_targets,
         html_text, html_runs, sense_lines, sense_lines_all, fuzzy_keys, dsl_filings, dsl_html, p1_found, p1_reasons, p1_valid, p1_valid_lines,
-        index_figures, definitions_ranked_all, row_language_tags_all, fold_forms_all,
+        index_figures, answer_define, answer_scope, answer_search, definitions_ranked_all, row_language_tags_all, fold_forms_all,
     )
     return {f.__name__: f for f in (*own, *files.QUERIES)}

@@ -195,6 +195,13 @@ def oracle_sql() -> dict[str, str]:
  dr AS (SELECT bare_key, first_slot FROM se GROUP BY ALL HAVING bool_and(first < (bare_key, first_slot)))
  SELECT {_OUT} FROM r WHERE NOT (all_aliases AND (bare_key, first_slot) IN (SELECT (bare_key, first_slot) FROM dr))""",
         "index_figures": "SELECT count(*) AS headwords, count(DISTINCT dict) AS dictionaries, true AS stored, true AS opened FROM headwords WHERE word IS NOT NULL",
+        "answer_define": f"""WITH {_rows(f"bare_key = '{c.DEFINED}' AND dict NOT IN (SELECT dict FROM dictionaries WHERE NOT scope)")}, e AS ({_ENTRIES}), rk AS ({_SHELF}),
+ one AS (SELECT * FROM r ORDER BY word <> '{c.DEFINED}', first_slot LIMIT 1),
+ g AS (SELECT one.word, o.pos, e.dict, e.def_id, e.part, e.entry FROM one JOIN o ON o.bare_key = one.bare_key AND o.host = one.host JOIN e ON e.dict = o.dict AND e.word = o.word WHERE e.entry <> ''),
+ q AS (SELECT *, row_number() OVER (PARTITION BY dict, entry ORDER BY pos, def_id, part) AS k, min(pos) OVER (PARTITION BY dict) AS p FROM g)
+ SELECT q.word, rank, q.dict, d.label, string_agg(entry, '␞' ORDER BY pos, def_id, part) AS entries FROM q JOIN rk USING (dict) JOIN dictionaries d USING (dict) WHERE k = 1 OR pos = p GROUP BY ALL""",
+        "answer_scope": f"""WITH s AS (SELECT rank, dict, label, coalesce(n, 0) AS headwords FROM dictionaries JOIN ({_SHELF}) USING (dict) LEFT JOIN (SELECT dict, count(*) AS n FROM headwords WHERE word IS NOT NULL GROUP BY dict) USING (dict))
+ SELECT to_json({{'dictionaries': list({{'label': s.label, 'headwords': s.headwords, 'path': d.path}} ORDER BY s.rank)}})::VARCHAR AS answer FROM s JOIN dictionaries d USING (dict)""",
         "reading_order": _SHELF,
         "order_repair": "SELECT dict, (row_number() OVER (ORDER BY rest, pos) - 1)::INT AS rank FROM (SELECT dict, coalesce(min(pos), dict) AS pos, min(pos) IS NULL AS rest FROM dictionaries LEFT JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 999), (4, 0)) v(pos, dict) USING (dict) GROUP BY dict)",
         "scope_default": "SELECT dict, coalesce(scope, true) AS scope FROM dictionaries",

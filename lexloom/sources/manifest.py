@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 64 << 10
@@ -16,11 +21,13 @@ SIBLINGS = {
 }
 
 
-def sample_hash(content: Column) -> Column:
-    """A hash of the first, the middle and the last 64 KiB and the length; files are rarely changed elsewhere only."""
-    n = F.length(content)
-    middle, last = F.greatest(F.lit(1), (n - SAMPLE) / 2 + 1).cast("int"), F.greatest(F.lit(1), n - SAMPLE + 1)
-    return F.xxhash64(n, F.substring(content, F.lit(1), F.lit(SAMPLE)), F.substring(content, middle, F.lit(SAMPLE)), F.substring(content, last, F.lit(SAMPLE)))
+def sample_hash(stream, size: int) -> int:
+    """A hash of the first, the middle and the last 64 KiB and the length; files are rarely changed elsewhere only. Nothing else is read."""
+    total = xxhash.xxh64(str(size))
+    for at in (0, max(0, (size - SAMPLE) // 2), max(0, size - SAMPLE)):
+        stream.seek(at)
+        total.update(stream.read(SAMPLE))
+    return total.intdigest() - (1 << 63)
 
 
 def needed_files(dictionaries: DataFrame) -> DataFrame:
@@ -38,7 +45,21 @@ def needed_files(dictionaries: DataFrame) -> DataFrame:
 def fingerprints(spark: SparkSession, dictionaries: DataFrame, folder: str) -> DataFrame:
     """path, file, size, modified, hash of all files of the dictionaries below folder; nulls where a file is missing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    found = files.select(F.regexp_replace("path", "^file:/*", "/").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), sample_hash(F.col("content")).alias("hash"))
+    listed = files.select("path", F.regexp_replace("path", "^file:/*", "/").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    wanted = listed.join(needed_files(dictionaries).select("file").distinct(), "file", "left_semi")
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            out = []
+            for path, size in zip(b["path"], b["size"]):
+                fs, at = FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+                with fs.open_input_file(at) as f:
+                    out.append(sample_hash(f, size))
+            yield b[["file", "size", "modified"]].assign(hash=out)
+
+    found = wanted.select("path", "file", "size", "modified").mapInPandas(sample, "file string, size bigint, modified timestamp, hash bigint")
     return needed_files(dictionaries).join(found, "file", "left").select("path", "file", "size", "modified", "hash")
 
 

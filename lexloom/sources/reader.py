@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import dsl
+from lexloom.functions.markup import html_text
 from lexloom.session import bounded, cut_lineage
 from lexloom.sources import formats
 from lexloom.sources.paths import classify
@@ -253,8 +254,8 @@ def read(spark: SparkSession, path: str | list[str], split: int = 64 << 20) -> D
     )
 
 
-def lookup(dictionaries: Dictionaries, words: DataFrame) -> DataFrame:
-    """path, word, filing_no, html: what each dictionary has for words (word); empty definitions only of tables."""
+def lookup(dictionaries: Dictionaries, words: DataFrame, text: bool = False) -> DataFrame:
+    """path, word, filing_no, html: what each dictionary has for words (word); empty definitions only of tables. With text also its plain text."""
     asked = dictionaries.filings.join(words.select("word").distinct(), "word").drop("format")
     got = asked.join(dictionaries.entries, ["path", "offset", "size"])
 
@@ -264,7 +265,8 @@ def lookup(dictionaries: Dictionaries, words: DataFrame) -> DataFrame:
 
     is_dsl = F.col("format") == "Dsl"
     got = got.withColumn("_html", html(F.when(is_dsl, F.col("text")), F.col("word")))
-    return got.select("path", "word", "filing_no", F.when(is_dsl, F.col("_html")).otherwise(F.col("text")).alias("html"), "format").filter("html <> '' or format = 'Csv'").drop("format")
+    found = got.select("path", "word", "filing_no", F.when(is_dsl, F.col("_html")).otherwise(F.col("text")).alias("html"), "format").filter("html <> '' or format = 'Csv'").drop("format")
+    return found.withColumn("text", html_text(F.col("html"))) if text else found
 
 
 def preview(dictionaries: Dictionaries, n: int = 5, chars: int = 100) -> DataFrame:

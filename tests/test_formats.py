@@ -251,3 +251,102 @@ def test_late_repeats_are_dropped(spark, tmp_path):
     stream = ingest.first_arrivals(ingest.read_arrivals(spark, str(tmp_path / "in"), rows.schema))
     stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r.slot for r in spark.table("arrived").collect()) == [1, 2]
+
+
+def test_configurations_are_edited_in_place(spark, tmp_path):
+    from lexloom.sources import settings
+
+    text = '# mine\ndictionary_dirs = [\n    "/books", # all\n    "/more"  # and these\n]\n\n[dictionary."/a.ifo"] # first\nname = "A"  # short\norder = 2\n\n[other]\nx = 1\n'
+    out = settings.with_exclude(text, "/books/x")
+    assert paths.read_config(spark, out)[0] == ["/books", "/more"] and [r.path for r in paths.read_config(spark, out)[1].collect()] == ["/books/x"]
+    assert all(c in out for c in ("# mine", "# all", "# and these", "# first")) and settings.with_exclude(out, "/books/x") == out
+    for before in ("dictionary_dirs = []\n", "dictionary_dirs = ['/a']\n", 'dictionary_dirs = ["/a",]\n', "x = 1\n"):
+        assert [r.path for r in paths.read_config(spark, settings.with_exclude(before, "/b \"q\""))[1].collect()] == ['/b "q"']
+    new = spark.createDataFrame([("/a.ifo", "B", None, None, False, None), ("/c.dsl", None, "c", 1, None, None), ("/d.dsl", None, None, None, None, None)], paths.SETTINGS)
+    out = settings.with_settings(text, new)
+    got = {r.path: (r.name, r.short, r.cfg_order, r.scope) for r in paths.read_config(spark, out)[2].collect()}
+    assert got == {"/a.ifo": ("B", None, None, False), "/c.dsl": (None, "c", 1, None)}
+    assert '[other]\nx = 1' in out and 'name = "B"  # short' in out and "# first" in out and settings.with_settings(out, new) == out
+    made = settings.load_or_create(str(tmp_path / "new/config.toml"), str(tmp_path / "books"))
+    assert paths.read_config(spark, made)[0] == [str(tmp_path / "books")] and settings.load_or_create(str(tmp_path / "new/config.toml"), "/else") == made
+
+
+def test_data_files_are_read_by_several_tasks(spark, tmp_path):
+    d = tmp_path / "books"
+    d.mkdir()
+    words = [f"w{i:04}" for i in range(500)]
+    body = lambda w: f"<p>{w}</p>" * 20
+    at, index, data = 0, [], b""
+    for w in words:
+        b = body(w).encode()
+        index.append((w, at, len(b)))
+        data, at = data + b, at + len(b)
+    (d / "s.ifo").write_bytes(INFO)
+    (d / "s.idx").write_bytes(idx(*index))
+    (d / "s.dict").write_bytes(data[:-5])  # the last entry is cut
+    (d / "s.syn").write_bytes(syn(("alias", 3), ("none", 9999)))
+    got = reader.read(spark, str(d), split=5000)
+    texts = {(r.offset, r.size): r.text for r in got.entries.collect()}
+    assert texts == {(o, n): body(w) for w, o, n in index[:-1]}
+    assert got.rejects.collect() == [] and {r.word for r in got.filings.filter("is_alias").collect()} == {"alias"}
+    assert [(r.word, r.idx) for r in got.headwords.orderBy("idx").collect()] == [*((w, i) for i, w in enumerate(words)), ("alias", 500)]
+    assert [r.text for r in reader.lookup(got, spark.createDataFrame([("alias",)], "word string"), text=True).collect()] == ["\n".join(["w0003"] * 20)]
+
+
+def test_tables_and_cards_keep_their_order_when_split(spark, tmp_path):
+    d = tmp_path / "books"
+    d.mkdir()
+    lines = [f"x\t{i}\tword{i % 300}\tk\ttext {i}\t1" for i in range(3000)]
+    (d / "t.csv").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = reader.read(spark, str(d))
+        assert {r.text for r in got.entries.collect()} == {f"text {i}" for i in range(300)}
+        assert [r.word for r in got.headwords.orderBy("idx").collect()] == [f"word{i}" for i in range(300)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_batch_that_is_run_again_is_there_once(spark, tmp_path):
+    import shutil
+
+    from lexloom.operators import index
+    from lexloom.streaming import ingest
+
+    rows = spark.createDataFrame([(0, i, i, f"w{i}", False, None) for i in range(20)], "dict int, idx bigint, slot bigint, word string, is_alias boolean, entry_id bigint")
+    path, cp = str(tmp_path / "ix"), str(tmp_path / "cp")
+    index.write(rows.filter("slot < 5"), path)
+    rows.filter("slot >= 5").write.parquet(str(tmp_path / "in"))
+    run = lambda: ingest.append_to_index(ingest.read_arrivals(spark, str(tmp_path / "in"), rows.schema), path, cp).awaitTermination(60)
+    run()
+    # as after a failure between the writing of a batch and its commit
+    for f in (tmp_path / "cp/commits").iterdir():
+        f.unlink() if f.is_file() else shutil.rmtree(f)
+    run()
+    assert sorted(r.slot for r in index.open_index(spark, path).collect()) == list(range(20))
+
+
+def test_state_of_an_index(spark, tmp_path):
+    from lexloom.operators import index
+
+    kind = "dict int, idx bigint, slot bigint, word string, is_alias boolean, entry_id bigint"
+    rows = [(0, i, i, f"w{i}", False, 1) for i in range(6)]
+    path = str(tmp_path / "ix")
+    heads = spark.createDataFrame(rows, kind)
+    index.write(heads, path)
+    assert index.is_current(spark, heads, path)
+    for column, value in (("is_alias", "true"), ("entry_id", "2"), ("slot", "slot + 1"), ("idx", "idx + 1"), ("word", "upper(word)")):
+        assert not index.is_current(spark, heads.selectExpr(*[f"cast({value} as {t}) as {c}" if c == column else c for c, t in heads.dtypes]), path)
+    # from files, what the file system tells is enough, and no job is run
+    heads.write.parquet(str(tmp_path / "heads"))
+    stored = spark.read.parquet(str(tmp_path / "heads"))
+    index.write(stored, path)
+    assert index._files(stored) and index.is_current(spark, stored, path) and not index.is_current(spark, stored.limit(3), path)
+    for _ in range(3):
+        last = index.write(stored, path)
+    assert len(index.versions(spark, path)) == 1 + index.KEPT and index.version_of(spark, path) == last
+    # half a version is none
+    (tmp_path / "ix/headwords-99999999999999999999-x/rows").mkdir(parents=True)
+    assert index.version_of(spark, path) == last and index.open_index(spark, path).count() == 6
+    assert index.figures(spark, stored, path).first().headwords == 6
