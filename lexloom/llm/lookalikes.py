@@ -29,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters that look alike, in rows of Latin, Greek, Cyrillic; "-" where a script has none.
+# Letters that look alike, in rows of Latin, Greek, Cyrillic ("-" where a script has none), then of Latin
+# with Armenian, Cherokee or Coptic.
 LOOK_ALIKES = """
 a α а
 c ϲ с
@@ -75,6 +76,43 @@ Z Ζ -
 - Φ Ф
 - Γ Г
 - Λ Л
+o օ
+n ո
+u ս
+h հ
+j յ
+q զ
+O Օ
+S Տ
+U Ս
+L Լ
+A Ꭺ
+B Ᏼ
+C Ꮯ
+D Ꭰ
+E Ꭼ
+G Ꮐ
+H Ꮋ
+J Ꭻ
+K Ꮶ
+L Ꮮ
+M Ꮇ
+P Ꮲ
+R Ꭱ
+S Ꮪ
+T Ꭲ
+V Ꮩ
+W Ꮃ
+Z Ꮓ
+o ⲟ
+p ⲣ
+c ⲥ
+O Ⲟ
+P Ⲣ
+C Ⲥ
+K Ⲕ
+M Ⲙ
+N Ⲛ
 """
 #: With one of these, letters that look alike still do: grave, acute, circumflex, tilde, macron, breve, dieresis.
 MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0308"
@@ -213,7 +251,10 @@ class Rewriter:
         """The script of a sign that stands for itself wherever its script is written ("" if it has none); None for all others."""
         if c not in self._usual:
             own = script(c) or ""
-            odd = unseen(c) or other_space(c) or U.category(c)[0] == "M" or (c in self.forms and self.forms[c].get(own) != c)
+            forms = self.forms.get(c, {})
+            # a sign of no script, such as a Roman number, takes the form of the script around it
+            changes = forms.get(own) != c if own else any(to != c for to in forms.values())
+            odd = unseen(c) or other_space(c) or U.category(c)[0] == "M" or (bool(forms) and changes)
             self._usual[c] = None if odd else own
         return self._usual[c]
 

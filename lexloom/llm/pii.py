@@ -36,7 +36,7 @@ NEAR = 45
 # Some of the most common given names of the English, French, German and Spanish speaking countries.
 GIVEN = """James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul
 Andrew George Kenneth Edward Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret
-Emily Michelle Laura Helen Emma Jean Pierre Michel André Philippe Alain Bernard Jacques Daniel Nicolas Julien François
+Emily Michelle Laura Helen Emma Jean Pierre Michel André Philippe Alain Bernard Jacques Nicolas Julien François
 Marie Nathalie Isabelle Sylvie Catherine Martine Françoise Sophie Camille Chloé Hans Peter Wolfgang Klaus Jürgen Werner
 Stefan Andreas Karl Heinz Ursula Monika Petra Sabine Renate Karin Brigitte Anna Maria Lena Lukas Antonio José Manuel
 Francisco Juan Javier Carlos Jesús Miguel Alejandro Carmen Ana Isabel Dolores Pilar Josefa Teresa Rosa Cristina Lucía""".split()

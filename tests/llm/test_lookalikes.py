@@ -71,9 +71,20 @@ def test_values_of_usual_signs_are_as_the_automaton_leaves_them():
     import random
 
     rng = random.Random(3)
-    signs = "abcoxеоаλόγοςсловоמלךÀéñßＡ１²ﬁ ​ -'́·ӱёйϲ"
+    signs = "abcoxеоаλόγοςсловоמלךÀéñßＡ１²ﬁ ​ -'́·ӱёйϲⅰⅨ½№ª"
     one, slow = (L.Rewriter({c: i + 1 for i, c in enumerate(signs)}) for _ in range(2))
     slow.usual = lambda c: None
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randint(1, 5)))
         assert one(text) == slow(text), ascii(text)
+
+
+def test_look_alikes_of_further_scripts():
+    import itertools
+
+    groups = [set(ms) for ms in L.classes().values()]
+    of = lambda c: next(g for g in groups if c in g)
+    for alike in ("oοоօⲟ", "AΑАᎪ", "SЅՏᏚ", "pρрⲣ"):
+        assert all(of(a) is of(b) for a, b in itertools.combinations(alike, 2)), alike
+    one = L.Rewriter({c: 5 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    assert one("wօrd") == ("word", True) and one("ᎪBLE") == ("ABLE", True) and one("օրդո") == ("օրդո", False)
