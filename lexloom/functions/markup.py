@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,6 +44,8 @@ class _Runs(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.runs: list[list] = []
         self.stack: list[tuple[str, tuple, str | None]] = []
+        #: How many elements of a name are open, so that the stack is searched only where there is something to find.
+        self.open: Counter[str] = Counter()
         self.silent = 0
         self.gap = ""
 
@@ -54,6 +57,7 @@ class _Runs(HTMLParser):
         flag, factor = EFFECTS.get(name, (None, 1.0))
         flags = tuple(on or f == flag for f, on in zip(_FLAGS, style))
         self.stack.append((name, (*flags, style[6] * factor), outer if href is None else href))
+        self.open[name] += 1
 
     def _break(self) -> None:
         if self.runs:
@@ -63,17 +67,17 @@ class _Runs(HTMLParser):
         if tag in ("style", "script"):
             self.silent += 1
             return
-        if ends := IMPLIED_END.get(tag):
+        if (ends := IMPLIED_END.get(tag)) and any(self.open[n] for n in ends):
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] in ends:
                     self._close(i)
                     break
                 if self.stack[i][0] in BLOCKS and self.stack[i][0] not in ends:
                     break
-        if tag in BLOCKS and any(n == "p" for n, *_ in self.stack):
-            self._close(max(i for i, (n, *_) in enumerate(self.stack) if n == "p"))
-        if tag == "a" and any(n == "a" for n, *_ in self.stack):
-            self._close(max(i for i, (n, *_) in enumerate(self.stack) if n == "a"))
+        if tag in BLOCKS and self.open["p"]:
+            self._close(self._last("p"))
+        if tag == "a" and self.open["a"]:
+            self._close(self._last("a"))
         if tag in BLOCKS or tag == "br":
             self._break()
         if tag not in VOID:
@@ -82,10 +86,14 @@ class _Runs(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _last(self, name: str) -> int:
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name)
+
     def _close(self, i: int) -> None:
         """Closes the element at i; formatting elements opened inside a block go on after it."""
         inner = self.stack[i + 1 :]
         block = self.stack[i][0] in BLOCKS
+        self.open.subtract(n for n, *_ in self.stack[i:])
         del self.stack[i:]
         for name, _, href in inner:
             if name in FORMATTING:
@@ -97,7 +105,7 @@ class _Runs(HTMLParser):
         if tag in ("style", "script"):
             self.silent = max(0, self.silent - 1)
             return
-        for i in range(len(self.stack) - 1, -1, -1):
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] or not (tag in BLOCKS or tag in FORMATTING) else ():
             if self.stack[i][0] == tag:
                 self._close(i)
                 return

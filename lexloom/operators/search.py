@@ -154,7 +154,8 @@ def search(index: DataFrame, query: str, limit: int | None = None, scope: DataFr
 
 def page(index: DataFrame, query: str, n: int = DEFAULT_LIMIT, scope: DataFrame | None = None, fold_forms: bool = False) -> tuple[DataFrame, bool]:
     """(the first n rows in order, whether there are more)"""
-    rows = search(index, query, n + 1, scope, fold_forms).orderBy("bare_key", "first_slot")
+    # written once, as it is counted and shown: at most the rows of n + 1 keys
+    rows = cut_lineage(search(index, query, n + 1, scope, fold_forms), "page").orderBy("bare_key", "first_slot")
     return rows.limit(n), rows.limit(n + 1).count() > n
 
 

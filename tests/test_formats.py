@@ -350,3 +350,13 @@ def test_state_of_an_index(spark, tmp_path):
     (tmp_path / "ix/headwords-99999999999999999999-x/rows").mkdir(parents=True)
     assert index.version_of(spark, path) == last and index.open_index(spark, path).count() == 6
     assert index.figures(spark, stored, path).first().headwords == 6
+
+
+def test_deeply_nested_markup_is_read_in_time():
+    import time
+
+    began = time.perf_counter()
+    assert markup.to_text("<b>" * 200 + "<p>x</p>" * 2 + "</b>" * 200) == "x\nx"
+    markup.to_runs("<b>" * 20_000 + "<p>x</p>" * 2_000)
+    markup.to_runs("<p>" * 5_000 + "</i>" * 20_000)
+    assert time.perf_counter() - began < 10
