@@ -145,6 +145,47 @@ UNION ALL SELECT 'Dsl', card_id, 'headword', unnest(range(0, len(h)))::INT, unne
 UNION ALL SELECT 'Dsl', card_id, 'body', unnest(range(0, len(b)))::INT, unnest(b) FROM p"""
 
 
+_SPACE = r"[\s\x85\xa0\x1c-\x1f\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _filings() -> str:
+    """The keys of valid cards whose headword lines have one optional group at most, as those of the test tables do: braces go, escapes stand for themselves."""
+    line = r"regexp_replace(regexp_replace(x, '\{(\\.|[^{}])*\}', '', 'g'), '\\([(])', chr(2), 'g')"
+    line = rf"regexp_replace(regexp_replace({line}, '\\([)])', chr(3), 'g'), '\\(.)', '\1', 'g')"
+    word = lambda x: f"trim(regexp_replace(replace(replace({x}, chr(2), '('), chr(3), ')'), '{_SPACE}', ' ', 'g'))"
+    bare = r"regexp_replace({0}, '^[IVXLCDM]+[.)]?\s+((?:[^\p{{L}}]*)[\p{{Greek}}\p{{Hebrew}}].*)$', '\1')"
+    group = lambda n: f"regexp_extract(l, '^(.*?)[(]([^()]*)[)](.*)$', {n})"
+    return rf"""WITH f AS ({_faulty()}),
+ c AS (SELECT card_id, dict, unnest(list_filter(string_split_regex(card, '\r?\n'), lambda x: regexp_matches(x, '^[^\t ]'))) AS x FROM dsl_cards WHERE card_id NOT IN (SELECT rec_id FROM f WHERE format = 'Dsl')),
+ l AS (SELECT card_id, dict, row_number() OVER () AS n, {line} AS l FROM c WHERE regexp_matches(x, '\S')),
+ g AS (SELECT *, regexp_matches(l, '[(][^()]*[)]') AS has, {group(1)} AS pre, {group(2)} AS opt, {group(3)} AS post FROM l),
+ v AS (SELECT card_id, dict, n, 0 AS k, CASE WHEN has THEN {word("pre || post")} ELSE {word("l")} END AS word, false AS marked FROM g
+   UNION ALL SELECT card_id, dict, n, 1, {word("pre || opt || post")}, trim(pre) = '' FROM g WHERE has),
+ d AS (SELECT card_id, dict, n, 2 AS k, {bare.format(f"CASE WHEN NOT has THEN {word('l')} WHEN trim(pre) = '' THEN {word('post')} ELSE {word('pre || opt || post')} END")} AS word FROM g),
+ a AS (SELECT card_id, dict, n, k, word, NOT marked AND {bare.format("word")} = word AS listed FROM v UNION ALL SELECT card_id, dict, n, k, word, true FROM d),
+ u AS (SELECT card_id, dict, word, bool_or(listed) AS listed, min((n, k)) AS first FROM a WHERE word <> '' GROUP BY ALL)
+SELECT card_id, dict, word, listed OR (NOT bool_or(listed) OVER (PARTITION BY card_id) AND row_number() OVER (PARTITION BY card_id ORDER BY first) = 1) AS listed FROM u"""
+
+
+# Elements that stand on lines of their own, and the character references of the test tables; "&amp;" comes last.
+_BLOCKS = "p|div|li|tr|ul|ol|dl|dt|dd|table|section|article|blockquote|hr|center|h1|h2|h3|h4|h5|h6|br"
+_CHARACTERS = {"&quot;": '"', "&nbsp;": " ", "&eacute;": "é", "&lt;": "<", "&gt;": ">", "&#8217;": "’", "&#xFC;": "ü", "&amp;": "&"}
+
+
+def _html_text() -> str:
+    """The text of entries, for markup whose tags are whole: comments go, blocks, bars and pilcrows break lines, other tags vanish, then references become characters and white space one space."""
+    attributes = r"""(\s([^<>"'']|"[^"]*"|''[^'']*'')*)?"""
+    x = r"regexp_replace(entry, '(?s)<!--.*?-->|(?i)<(style|script)\b.*?</(style|script)\s*>', '', 'g')"
+    x = rf"regexp_replace({x}, '(?i)</?({_BLOCKS}){attributes}/?>|\|\|', chr(1), 'g')"
+    x = rf"regexp_replace({x}, '</?[A-Za-z][^\s<>/]*{attributes}/?>', '', 'g')"
+    for name, sign in _CHARACTERS.items():
+        x = f"replace({x}, '{name}', '{sign}')"
+    x = f"replace({x}, '¶', chr(1) || '¶')"
+    x = f"regexp_replace({x}, '{_SPACE}', ' ', 'g')"
+    x = rf"trim(regexp_replace({x}, '( ?\x01 ?)+', chr(1), 'g'), ' ' || chr(1))"
+    return f"SELECT def_id, part::INT AS part, replace({x}, chr(1), chr(10)) AS text FROM (SELECT def_id, unnest(range(0, len(entries))) AS part, unnest(entries) AS entry FROM definitions)"
+
+
 def oracle_sql() -> dict[str, str]:
     limited = f"WITH {_rows(_NEEDLE)}, n AS (SELECT bare_key, count(*) AS n FROM r GROUP BY bare_key), b AS (SELECT bare_key, coalesce(sum(n) OVER (ORDER BY bare_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n)"
     return {
@@ -200,6 +241,14 @@ def oracle_sql() -> dict[str, str]:
  g AS (SELECT one.word, o.pos, e.dict, e.def_id, e.part, e.entry FROM one JOIN o ON o.bare_key = one.bare_key AND o.host = one.host JOIN e ON e.dict = o.dict AND e.word = o.word WHERE e.entry <> ''),
  q AS (SELECT *, row_number() OVER (PARTITION BY dict, entry ORDER BY pos, def_id, part) AS k, min(pos) OVER (PARTITION BY dict) AS p FROM g)
  SELECT q.word, rank, q.dict, d.label, string_agg(entry, '␞' ORDER BY pos, def_id, part) AS entries FROM q JOIN rk USING (dict) JOIN dictionaries d USING (dict) WHERE k = 1 OR pos = p GROUP BY ALL""",
+        "answer_search": f"""WITH {_rows(_NEEDLE + ' AND dict NOT IN (SELECT dict FROM dictionaries WHERE NOT scope)')}, n AS (SELECT bare_key, count(*) AS n FROM r GROUP BY bare_key),
+ b AS (SELECT bare_key, coalesce(sum(n) OVER (ORDER BY bare_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n),
+ w AS (SELECT r.* FROM r JOIN b USING (bare_key) WHERE before < {c.LIMIT + 1}), s AS (SELECT * FROM w ORDER BY bare_key, first_slot LIMIT {c.LIMIT}),
+ j AS (SELECT s.bare_key, s.first_slot, s.word, count(DISTINCT o.dict) AS dictionaries, list({{'dictionary': coalesce(d.label, ''), 'spelling': o.word}} ORDER BY pos) FILTER (pos = 1 OR o.word <> w1 OR o.dict <> d1) AS members
+   FROM s JOIN o ON o.bare_key = s.bare_key AND o.host = s.host LEFT JOIN dictionaries d ON d.dict = o.dict GROUP BY s.bare_key, s.first_slot, s.word)
+ SELECT to_json({{'query': '{c.NEEDLE}', 'rows': list({{'word': word, 'dictionaries': dictionaries, 'members': members}} ORDER BY bare_key, first_slot), 'truncated': (SELECT count(*) > {c.LIMIT} FROM w)}})::VARCHAR AS answer FROM j""",
+        "dsl_filings": _filings(),
+        "html_text": _html_text(),
         "answer_scope": f"""WITH s AS (SELECT rank, dict, label, coalesce(n, 0) AS headwords FROM dictionaries JOIN ({_SHELF}) USING (dict) LEFT JOIN (SELECT dict, count(*) AS n FROM headwords WHERE word IS NOT NULL GROUP BY dict) USING (dict))
  SELECT to_json({{'dictionaries': list({{'label': s.label, 'headwords': s.headwords, 'path': d.path}} ORDER BY s.rank)}})::VARCHAR AS answer FROM s JOIN dictionaries d USING (dict)""",
         "reading_order": _SHELF,
