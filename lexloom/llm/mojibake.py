@@ -7,7 +7,9 @@ original. Whole strings align words that have no ASCII character of their own. F
 
 * a mapping from garbled sequence to character, as the pairs show it, whatever the encodings were: runs are cut evenly
   into as many pieces as there are characters, and a piece that stands for one character in `least` different words and
-  in four fifths of all its words is a mapping (`learned_units`);
+  in four fifths of all its words is a mapping (`learned_units`). Two strings that differ by a word aren't told from
+  garbled and clean ones by their remainder, so only pairs count that agree with others in most of their pieces, and
+  pieces of letters alone, which could be words, need bytes that bear them out;
 * which known encodings explain pairs (bytes of UTF-8 read in another encoding, once or twice). These extend the
   mapping to characters that no pair shows.
 
@@ -48,6 +50,8 @@ LEGACY = [(a, b) for a in ("cp1252", "latin-1", "mac_roman", "cp437") for b in (
 REPERTOIRE = [*range(0xA0, 0x250), *range(0x300, 0x483), *range(0x48A, 0x530), *range(0x591, 0x5F5), *range(0x1F00, 0x2000), *range(0x2010, 0x2045), 0x20AC, 0x2122]
 KNOWN = {*map(chr, REPERTOIRE), *map(chr, range(32, 127))}
 WORD_ENDS = r"[\s<>\"=\[\]/]+"
+#: ASCII that no word of evidence goes across: in "\\emph{à}" or "&lt;b&gt;à" the letters of the markup tell nothing of the word.
+EVIDENCE_ENDS = r"[\x00-\x7F&&[^A-Za-z'-]]+"
 #: A word of accented western letters and marks, without any ASCII letter.
 FOREIGN = r"^[^A-Za-z]*[\x{80}-\x{2FF}][^A-Za-z]*[\x{80}-\x{2FF}][^A-Za-z]*$"
 FOREIGN_WORD = regex.compile(r"(?<![^\s<>\"=\[\]/])[^A-Za-z\s<>\"=\[\]/]+(?![^\s<>\"=\[\]/])")
@@ -135,7 +139,9 @@ def _aligned(pairs: DataFrame) -> DataFrame:
 
 def twin_evidence(words: DataFrame) -> DataFrame:
     """garbled, clean, n: pairs of runs aligned between words (word, n) and their clean near-twin."""
-    own = words.filter(~F.col("word").contains(LOST)).withColumns({"skeleton": _skeleton("word"), "odd": _odd("word")}).filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
+    bare = words.select(F.explode(F.split("word", EVIDENCE_ENDS)).alias("word"), "n").select(F.btrim("word", F.lit("'-")).alias("word"), "n")
+    bare = bare.filter(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains(LOST)).groupBy("word").agg(F.sum("n").alias("n"))
+    own = bare.withColumns({"skeleton": _skeleton("word"), "odd": _odd("word")}).filter(F.col("skeleton").rlike("[A-Za-z].*[A-Za-z]"))
     # the twin: fewest non-ASCII characters, then most frequent, then first in order
     twins = own.groupBy("skeleton").agg(F.min(F.struct("odd", -F.col("n"), "word")).alias("t"), F.count("*").alias("c")).filter("c > 1")
     pairs = own.join(twins.select("skeleton", F.col("t.word").alias("twin"), F.col("t.odd").alias("twin_odd")), "skeleton").filter("odd > twin_odd")
@@ -162,19 +168,51 @@ def units_of(garbled: str, clean: str) -> list[tuple[str, str]]:
     return [(garbled[i * k : (i + 1) * k], c) for i, c in enumerate(clean)]
 
 
+def could_be_word(text: str) -> bool:
+    return all(U.category(c)[0] in "LM" for c in text)
+
+
+def borne_out(units: dict[str, str], least: int = 3) -> dict[str, str]:
+    """The units without those of letters alone that no bytes bear out.
+
+    Such a unit needs a known encoding that gives it, or as many signs as its character has bytes, the first of them
+    standing for the same first byte in units of `least` characters.
+    """
+    led: dict[tuple[str, int], set[str]] = {}
+    whole = {g: c for g, c in units.items() if len(g) == len(c.encode("utf-8"))}
+    for g, c in whole.items():
+        led.setdefault((g[0], c.encode("utf-8")[0]), set()).add(c)
+    return {g: c for g, c in units.items() if len(g) == 1 or not could_be_word(g) or explaining(g, c) or (g in whole and len(led[g[0], c.encode("utf-8")[0]]) >= least)}
+
+
 def learned_units(pairs: DataFrame, least: int = 3, share: float = 0.8) -> dict[str, str]:
     """garbled sequence -> character, from aligned runs (garbled, clean, n).
 
     Single letters count only where they stand for a letter of another script; one accent for another is a spelling.
+    Pairs of different words agree on some piece by chance, but not on most: what is learned first chooses the pairs
+    that count.
     """
 
+    def pieces(garbled: str, clean: str) -> list[tuple[str, str]]:
+        return [(g, c) for g, c in units_of(garbled, clean) if g != c and (len(g) > 1 or (g < "\u02ff" < c and _one_script(c + c)))]
+
     @F.pandas_udf("array<struct<g:string,c:string>>")
     def cut(garbled: pd.Series, clean: pd.Series) -> pd.Series:
-        return pd.Series([[{"g": g, "c": c} for g, c in units_of(a, b) if g != c and (len(g) > 1 or (g < "\u02ff" < c and _one_script(c + c)))] for a, b in zip(garbled, clean)])
+        return pd.Series([[{"g": g, "c": c} for g, c in pieces(a, b)] for a, b in zip(garbled, clean)])
+
+    def most_frequent(cuts: DataFrame) -> dict[str, str]:
+        counts = cuts.select(F.explode("u").alias("u"), "n").groupBy("u.g", "u.c").agg(F.sum("n").alias("n"))
+        best = counts.groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("b")).filter((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all")))
+        return {r.g: r.c for r in best.select("g", F.col("b.c").alias("c")).collect()}
+
+    cuts = pairs.select(cut("garbled", "clean").alias("u"), "n")
+    first = most_frequent(cuts)
+
+    @F.pandas_udf("boolean")
+    def agrees(u: pd.Series) -> pd.Series:
+        return pd.Series([2 * sum(first.get(x["g"]) == x["c"] for x in p) > len(p) for p in u], dtype=bool)
 
-    counts = pairs.withColumn("u", F.explode(cut("garbled", "clean"))).groupBy("u.g", "u.c").agg(F.sum("n").alias("n"))
-    best = counts.groupBy("g").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("b")).filter((F.col("b.n") >= least) & (F.col("b.n") >= share * F.col("all")))
-    return {r.g: r.c for r in best.select("g", F.col("b.c").alias("c")).collect()}
+    return borne_out(most_frequent(cuts.filter(agrees("u"))), least) if first else {}
 
 
 def _in_order(evidence: DataFrame, least: int, order: list) -> list[str]:
@@ -233,7 +271,7 @@ class Restorer:
         self.letters = {g: c for g, c in (units or {}).items() if len(g) == 1}
         self.longest = max(map(len, self.units), default=0)
         # what the pairs show comes before what encodings would give
-        mapping = {g: c for g, c in self.units.items() if not g.isalpha()}
+        mapping = {g: c for g, c in self.units.items() if not could_be_word(g)}
         for codec in encodings:
             for c in map(chr, REPERTOIRE):
                 seen = misread(c, (codec,))
@@ -297,8 +335,12 @@ class Restorer:
             new = "".join(self.letters.get(c, c) for c in word)
             if new != word and _one_script(new):
                 return new
+        runs = RUN.findall(word)
         for chain in self.legacy:
-            new = RUN.sub(lambda m, c=chain: reread_legacy(m[0], c) or m[0], word)
+            # all of the word was read in the same encoding: where one run can't have been, the others weren't either
+            if not all(reread_legacy(r, chain) for r in runs):
+                continue
+            new = RUN.sub(lambda m, c=chain: reread_legacy(m[0], c), word)
             if new != word and _one_script(new):
                 return new
         return None

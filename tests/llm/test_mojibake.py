@@ -123,3 +123,26 @@ def test_spellings_are_no_mapping():
 def test_one_accent_for_another_is_not_learned(spark):
     pairs = spark.createDataFrame([("é", "è", 9)], "garbled string, clean string, n long")
     assert J.learned_units(pairs) == {}
+
+
+def test_markup_tells_nothing_of_the_word_in_it(spark, corpus):
+    clean, garbled = corpus
+    tags = ("\\emph{%s}", "\\textit{%s", "&lt;b&gt;%s&lt;", "&gt;%s&lt;br", "Category:%s", "'color'&gt;%s")
+    other = [t % w for t in tags for w in ("à", "à", "τοῦ", "старой", "דָתָל")]
+    values = [*clean, *garbled.values(), *other, "ἐκ τοῦ ξύλου", "у старой реки"]
+    defs = spark.createDataFrame([(i, [v]) for i, v in enumerate(values)], "def_id bigint, entries array<string>")
+    got = {r.row_key for r in J.found(defs, spark.createDataFrame([], "card_id bigint, card string")).collect()}
+    assert got == set(range(len(clean), len(clean) + len(garbled)))
+
+
+def test_words_that_differ_are_no_mapping(spark):
+    garbled = [("Ã©", "é", 5), ("Ã¶ÃŸ", "öß", 3), ("รฉ", "é", 3), ("รผ", "ü", 3), ("รถ", "ö", 3), ("ГЁ", "è", 3)]
+    chance = [("בֶגֶהַל", "γηκο", 1), ("צִרֶהֶם", "λεητ", 1), ("נַקֶהַן", "δσηυ", 1), ("а»бв", "λρ", 1), ("а»гд", "λσ", 1), ("а»еж", "λτ", 1), ("τοῦ", "à", 9), ("старой", "à", 9), ("на", "à", 9)]
+    pairs = spark.createDataFrame(garbled + chance, "garbled string, clean string, n long")
+    assert J.learned_units(pairs) == {"Ã©": "é", "Ã¶": "ö", "ÃŸ": "ß", "รฉ": "é", "รผ": "ü", "รถ": "ö", "ГЁ": "è"}
+
+
+def test_a_word_read_in_part_is_none_of_a_legacy_encoding():
+    one = J.Restorer([], [("mac_roman", "cp1251")])
+    assert one("τήγυ(π)ειρ") == ("τήγυ(π)ειρ", False)
+    assert one("слово".encode("cp1251").decode("mac_roman")) == ("слово", True)
